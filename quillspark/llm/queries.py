@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import leaks, sentences
+from quillspark.llm import language, leaks, sentences, spam
 from quillspark.sources.tables import table
 
 
@@ -18,8 +18,21 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return spam.score_pages(documents, spam.fit(documents)).where("is_spam").select("doc_id")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = language.detect_languages(documents, language.fit(documents), keep=["lang"])
+    return language.mislabelled(found).join(p9_found(spark, folder), "doc_id", "left_anti")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p7_found": p7_found,
+    "p9_found": p9_found,
 }
 ORACLES: dict[str, str] = {}
