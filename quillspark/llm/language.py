@@ -147,7 +147,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     for k, n in sizes.items():
         # a hash threshold takes about `sample` rows of each label without sorting
         share = min(1.0, 1.3 * sample / n)
-        test = (F.col("_k") == k) & (F.col("_h") < int(-(2**63) + share * (2**64 - 1)))
+        test = (F.col("_k") == k) & (F.col("_h") <= int(-(2**63) + min(share * 2**64, 2**64 - 1)))
         keep = test if keep is None else keep | test
     if keep is None:
         return Profiles({})
