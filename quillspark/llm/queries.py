@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import language, leaks, sentences, spam
+from quillspark.llm import language, leaks, markup, sentences, spam
 from quillspark.sources.tables import table
 
 
@@ -29,9 +30,28 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.mislabelled(found).join(p9_found(spark, folder), "doc_id", "left_anti")
 
 
+def _latest(df: DataFrame, key: str, time: str) -> DataFrame:
+    """One row a key: redelivered rows count once, the last delivery stands."""
+    return df.groupBy(key).agg(F.max_by(F.struct("*"), time).alias("_r")).select("_r.*")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    articles = _latest(table(spark, folder, "articles"), "article_no", "retrieved_at")
+    return markup.markup_families(articles, markup.fit(articles, "extract_text", "article_no"), "article_no", "extract_text")
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    articles = _latest(table(spark, folder, "articles"), "article_no", "retrieved_at")
+    pages = table(spark, folder, "scrape_responses")
+    a = markup.clean_texts(articles, "article_no", "extract_text").select(F.lit("article").alias("kind"), F.col("article_no").alias("id"), "clean_text", "blocks")
+    return a.unionAll(markup.clean_texts(pages, "response_id", "markdown").select(F.lit("page").alias("kind"), F.col("response_id").alias("id"), "clean_text", "blocks").distinct())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
     "p7_found": p7_found,
     "p9_found": p9_found,
 }
