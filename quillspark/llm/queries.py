@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import language, leaks, markup, sentences, spam
+from quillspark.llm import language, leaks, markup, reading, sentences, spam
 from quillspark.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "papers")
+    return reading.hard_papers(papers, reading.fit_papers(papers)).distinct()
+
+
+def p1_levels(spark: SparkSession, folder: str) -> DataFrame:
+    papers, documents = table(spark, folder, "papers"), table(spark, folder, "documents")
+    profiles = language.fit(documents)
+    a = reading.levels(papers, reading.fit_papers(papers), None, "paper_id", "abstract").distinct()
+    b = reading.levels(documents, reading.fit_documents(documents, profiles), profiles, "doc_id", "text")
+    return a.withColumnRenamed("paper_id", "id").unionByName(b.withColumn("id", F.col("doc_id").cast("string")).drop("doc_id"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(table(spark, folder, "split_texts")).select("text_id", "start_byte", "end_byte")
 
@@ -48,6 +61,8 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_levels": p1_levels,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
