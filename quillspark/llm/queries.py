@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import language, leaks, markup, reading, sentences, spam
+from quillspark.llm import language, leaks, markup, pagebody, reading, sentences, spam
 from quillspark.sources.tables import table
 
 
@@ -24,6 +24,15 @@ def p1_levels(spark: SparkSession, folder: str) -> DataFrame:
     return a.withColumnRenamed("paper_id", "id").unionByName(b.withColumn("id", F.col("doc_id").cast("string")).drop("doc_id"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pagebody.furniture_lines(table(spark, folder, "scrape_responses"))
+
+
+def p2_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "scrape_responses")
+    return pagebody.main_bodies(pages).dropDuplicates(["response_id"])
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(table(spark, folder, "split_texts")).select("text_id", "start_byte", "end_byte")
 
@@ -63,6 +72,8 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_levels": p1_levels,
+    "p2_found": p2_found,
+    "p2_bodies": p2_bodies,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
