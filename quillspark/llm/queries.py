@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import language, leaks, markup, pagebody, reading, sentences, spam
+from quillspark.llm import language, leaks, markup, pagebody, reading, residue, sentences, spam
 from quillspark.sources.tables import table
 
 
@@ -33,6 +33,15 @@ def p2_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return pagebody.main_bodies(pages).dropDuplicates(["response_id"])
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "scrape_responses")).select("response_id")
+
+
+def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "scrape_responses").select("response_id", "host", "page_url").dropDuplicates(["response_id"])
+    return pages.join(p3_found(spark, folder), "response_id", "left_anti")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(table(spark, folder, "split_texts")).select("text_id", "start_byte", "end_byte")
 
@@ -74,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_levels": p1_levels,
     "p2_found": p2_found,
     "p2_bodies": p2_bodies,
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
