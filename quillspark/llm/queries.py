@@ -29,8 +29,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "scrape_responses")
-    return pagebody.main_bodies(pages).dropDuplicates(["response_id"])
+    return pagebody.main_bodies(_last_rows(table(spark, folder, "scrape_responses"), "response_id", "ingested_at"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +65,12 @@ def _latest(df: DataFrame, key: str, time: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct("*"), time).alias("_r")).select("_r.*")
 
 
+def _last_rows(df: DataFrame, key: str, time: str) -> DataFrame:
+    """As _latest, for wide rows: only keys that were delivered more than once are shuffled."""
+    again = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    return df.join(again, key, "left_anti").unionByName(_latest(df.join(again, key, "left_semi"), key, time))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     articles = _latest(table(spark, folder, "articles"), "article_no", "retrieved_at")
     return markup.markup_families(articles, markup.fit(articles, "extract_text", "article_no"), "article_no", "extract_text")
@@ -73,9 +78,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     articles = _latest(table(spark, folder, "articles"), "article_no", "retrieved_at")
-    pages = table(spark, folder, "scrape_responses")
+    pages = _last_rows(table(spark, folder, "scrape_responses"), "response_id", "ingested_at")
     a = markup.clean_texts(articles, "article_no", "extract_text").select(F.lit("article").alias("kind"), F.col("article_no").alias("id"), "clean_text", "blocks")
-    return a.unionAll(markup.clean_texts(pages, "response_id", "markdown").select(F.lit("page").alias("kind"), F.col("response_id").alias("id"), "clean_text", "blocks").distinct())
+    return a.unionAll(markup.clean_texts(pages, "response_id", "markdown").select(F.lit("page").alias("kind"), F.col("response_id").alias("id"), "clean_text", "blocks"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
