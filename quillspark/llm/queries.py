@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import language, leaks, markup, pagebody, reading, residue, sentences, spam
+from quillspark.llm import language, leaks, markup, mixing, pagebody, reading, residue, sentences, spam
 from quillspark.sources.tables import table
 
 
@@ -49,6 +49,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.draw(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.draw(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return spam.score_pages(documents, spam.fit(documents)).where("is_spam").select("doc_id")
@@ -95,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p7_found": p7_found,
+    "p8_drawn": p8_drawn,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
 }
 ORACLES: dict[str, str] = {}
