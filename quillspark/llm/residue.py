@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.pagebody import read
 from quillspark.llm.spam import FUNCTION
+from quillspark.operators.durable import checkpointed
 from quillspark.operators.rows import flat_map
 
 SHORT = 60  # words of a body that may be low in information by its lines alone
@@ -148,7 +149,8 @@ def residue(df: DataFrame, id_col: str = "response_id", text_col: str = "markdow
 
         return rows
 
-    found = flat_map(df, [id_col, text_col, host_col, url_col, title_col], make, f"`{id_col}` {key}, reason string, host bigint, line bigint, n int")
+    # a few short rows, read by both branches below
+    found = checkpointed(flat_map(df, [id_col, text_col, host_col, url_col, title_col], make, f"`{id_col}` {key}, reason string, host bigint, line bigint, n int"))
     sure = found.where("reason is not null").select(id_col, "reason").distinct()
     # low-information bodies without agreement: a line shared by many hosts is a message
     short = found.where("reason is null").distinct()
