@@ -157,8 +157,7 @@ def metrics_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, title string, aliases array<string>, languages array<string>, direction string")
 
 
-def gate(scored: DataFrame, under: dict[str, float] | None = None, over: dict[str, float] | None = None) -> DataFrame:
-    """Failing rows of the gates: below on metrics where higher is easier, above where lower is."""
+def _fails(under: dict[str, float] | None, over: dict[str, float] | None) -> Column:
     tests = []
     for given, direction in ((under or {}, UP), (over or {}, DOWN)):
         for name, limit in given.items():
@@ -169,15 +168,23 @@ def gate(scored: DataFrame, under: dict[str, float] | None = None, over: dict[st
             tests.append((F.col("metric") == m.name) & ((x < limit) if direction == UP else (x > limit)))
     if not tests:
         raise ValueError("no gate given")
-    return scored.where(reduce(Column.__or__, tests))
+    return reduce(Column.__or__, tests)
+
+
+def gate(scored: DataFrame, under: dict[str, float] | None = None, over: dict[str, float] | None = None) -> DataFrame:
+    """Failing rows of the gates: below on metrics where higher is easier, above where lower is."""
+    return scored.where(_fails(under, over))
 
 
 def gate_verdict(scored: DataFrame, id_col: str, under: dict[str, float] | None = None, over: dict[str, float] | None = None) -> DataFrame:
     """One row: documents, judged, failing, passed. A gate that judged nothing fails."""
     names = [m.name for n in (*(under or {}), *(over or {})) for m in resolve([n])]
-    failing = gate(scored, under, over).select(id_col).distinct().agg(F.count("*").alias("failing"))
-    totals = scored.agg(F.countDistinct(id_col).alias("documents"), F.countDistinct(F.when(F.col("metric").isin(*names), F.col(id_col))).alias("judged"))
-    return totals.join(failing).withColumn("passed", (F.col("judged") > 0) & (F.col("failing") == 0))
+    fails = _fails(under, over)
+    t = scored.agg(
+        F.countDistinct(id_col).alias("documents"), F.countDistinct(F.when(F.col("metric").isin(*names), F.col(id_col))).alias("judged"),
+        F.countDistinct(F.when(fails, F.col(id_col))).alias("failing"),
+    )
+    return t.withColumn("passed", (F.col("judged") > 0) & (F.col("failing") == 0))
 
 
 def run_meta(stats: DataFrame) -> DataFrame:

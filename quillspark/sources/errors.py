@@ -5,7 +5,12 @@ from __future__ import annotations
 import json
 
 #: Codes and exit codes (fixed values).
-EXIT = {"invalid_args": 2, "not_found": 3, "auth_error": 4, "permission_denied": 4, "rate_limited": 5, "unavailable": 5, "timeout": 5, "network_error": 5, "empty_input": 2, "unsupported": 6, "api_error": 1, "internal": 1}
+EXIT = {
+    "auth_missing": 2, "auth_expired": 2, "auth_denied": 2, "quota_exceeded": 3, "rate_limited": 3, "not_found": 4,
+    "invalid_args": 5, "empty_input": 5, "unsupported_language": 5, "unknown_metric": 5,
+    "network_unreachable": 6, "api_5xx": 6, "provider_unavailable": 6, "generic": 1,
+}
+FATAL = ("auth_missing", "auth_denied", "auth_expired", "quota_exceeded", "rate_limited", "provider_unavailable")
 
 
 class TextError(Exception):
@@ -19,13 +24,13 @@ class TextError(Exception):
 
     def line(self) -> str:
         """One JSON line."""
-        e = {"code": self.code, "message": self.message}
+        e: dict = {"code": self.code, "message": self.message}
         if self.hint:
             e["hint"] = self.hint
         e["retriable"] = self.retriable
-        if self.retry_after is not None:
-            e["retry_after"] = self.retry_after
-        return json.dumps({"error": e}, ensure_ascii=False)
+        if self.retry_after:
+            e["retry_after_sec"] = int(self.retry_after)
+        return json.dumps({"error": e}, ensure_ascii=False, separators=(",", ":"))
 
     def struct(self) -> tuple:
         return self.code, self.message, self.retriable
@@ -34,25 +39,23 @@ class TextError(Exception):
 ERROR_STRUCT = "struct<code:string,message:string,retriable:boolean>"
 
 
-def from_status(status: int, headers: dict[str, str] | None = None, message: str = "") -> TextError:
+def from_status(status: int, headers: dict[str, str] | None = None, message: str = "", keyed: bool = True) -> TextError:
     """The error of an HTTP status."""
     wait = retry_after((headers or {}).get("retry-after"))
     text = message or f"HTTP {status}"
-    if status in (400, 422):
-        return TextError("invalid_args", text)
-    if status == 401:
-        return TextError("auth_error", text)
-    if status in (402, 403):
-        return TextError("permission_denied", text)
-    if status in (404, 410):
-        return TextError("not_found", text)
-    if status in (408, 504):
-        return TextError("timeout", text, retriable=True, retry_after=wait)
+    if status in (401, 403):
+        return TextError("auth_denied" if keyed else "auth_missing", text)
+    if status == 402:
+        return TextError("quota_exceeded", text)
     if status == 429:
         return TextError("rate_limited", text, retriable=True, retry_after=wait)
+    if status == 404:
+        return TextError("not_found", text)
+    if status in (408, 504):
+        return TextError("network_unreachable", text, retriable=True)
     if status >= 500:
-        return TextError("unavailable", text, retriable=True, retry_after=wait)
-    return TextError("api_error", text)
+        return TextError("api_5xx", text, retriable=True)
+    return TextError("invalid_args", text)
 
 
 def retry_after(value: str | None) -> float | None:
@@ -65,5 +68,5 @@ def retry_after(value: str | None) -> float | None:
 
 
 def is_fatal(code: str) -> bool:
-    """Whether an error ends a run over many pages rather than one page."""
-    return code in ("auth_error", "permission_denied", "rate_limited", "invalid_args")
+    """Whether an error will repeat for every other page of a run."""
+    return code in FATAL
