@@ -198,7 +198,8 @@ def cache_key(*parts: Col) -> Column:
 
 
 def fresh(cached_at: Col, ttl_seconds: Col, now: Col) -> Column:
-    return F.unix_micros(_c(cached_at)) + _c(ttl_seconds) * 1_000_000 > F.unix_micros(_c(now))
+    at, by = (F.unix_micros(_c(x).cast("timestamp")) for x in (cached_at, now))
+    return at + _c(ttl_seconds).cast("bigint") * 1_000_000 > by
 
 
 def toon_cell(value: Col) -> Column:

@@ -38,3 +38,13 @@ def flat_map(df: DataFrame, columns: list[Column | str], make: Callable[[], Call
 
     picked = [(F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(columns)]
     return df.select(*picked).mapInArrow(run, kind)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores.
+
+    Only an input of fewer splits than cores is moved, which is less than one split a core; larger inputs keep their splits
+    and see no shuffle.
+    """
+    sc = df.sparkSession.sparkContext
+    return df.repartition(sc.defaultParallelism) if df.rdd.getNumPartitions() < sc.defaultParallelism else df
