@@ -279,10 +279,10 @@ def sentiment_labels(spark: SparkSession, d: str) -> DataFrame:
 @query(sql="""
 SELECT doc, name, confidence, rank::INT AS rank, len(list_filter(string_split(name, '/'), lambda x: x <> ''))::INT AS depth FROM (
  SELECT doc, name, confidence, row_number() OVER (PARTITION BY doc ORDER BY confidence DESC, name) AS rank FROM (
-  SELECT p_size AS doc, '/' || p_brand || '/' || p_type || '/' || p_partkey AS name, p_retailprice / 10000 AS confidence FROM part) WHERE confidence >= 0.1) WHERE rank <= 5
+  SELECT p_size AS doc, '/' || p_brand || '/' || p_type || '/' || p_partkey AS name, p_retailprice / 2000 AS confidence FROM part) WHERE confidence >= 0.1) WHERE rank <= 5
 """)
 def ranked_categories(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "part").select(F.col("p_size").alias("doc"), F.concat_ws("/", F.lit(""), "p_brand", "p_type", "p_partkey").alias("name"), (F.col("p_retailprice") / 10000).alias("confidence"))
+    c = table(spark, d, "part").select(F.col("p_size").alias("doc"), F.concat_ws("/", F.lit(""), "p_brand", "p_type", "p_partkey").alias("name"), (F.col("p_retailprice") / 2000).alias("confidence"))
     return entities.categories(c, 0.1, 5).select("doc", "name", "confidence", "rank", F.size("path").alias("depth"))
 
 
@@ -345,9 +345,9 @@ def csv_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql="""
-WITH c AS (SELECT o_custkey % 500 AS key, max(o_orderdate) AS at FROM orders GROUP BY 1),
-live AS (SELECT * FROM c WHERE at + INTERVAL 365 DAY > TIMESTAMP '1999-01-01')
-SELECT count(live.key) AS hits, count(*) - count(live.key) AS misses, min(live.at) AS oldest FROM (SELECT DISTINCT event_id % 700 AS key FROM events) r LEFT JOIN live USING (key)
+WITH c AS (SELECT o_custkey % 500 AS key, max(o_orderdate) AS put FROM orders GROUP BY 1),
+live AS (SELECT * FROM c WHERE put + INTERVAL 365 DAY > TIMESTAMP '1999-01-01')
+SELECT count(live.key) AS hits, count(*) - count(live.key) AS misses, min(live.put) AS oldest FROM (SELECT DISTINCT event_id % 700 AS key FROM events) r LEFT JOIN live USING (key)
 """)
 def cache_hits(spark: SparkSession, d: str) -> DataFrame:
     """Orders stand for cache entries that live a year, seen from the first day of 1999."""
