@@ -25,10 +25,14 @@ from quillspark.operators.rows import flat_map
 
 SAMPLE = 300  # labelled rows a label
 PROFILE = 500  # n-grams a profile
+FEW = 25
+KEPT_WORDS = 100_000
+_EMPTY = np.zeros(0, np.int32)
 LEAST_WORDS = 4  # of a sentence that counts as prose
 LEAST_LETTERS = 24  # fewer letters, in a script with spaces, say too little against the rest of the text
 LEAST_SENTENCES = 2
-MARGIN = 0.035  # by how much a sentence must be nearer to another language than to the text's own
+MARGIN = 0.03  # by how much a sentence must be nearer to another language than to the text's own
+LEAST_CONFIDENCE = 0.15  # mean of the sentences of a further language
 
 #: ISO 639-2 to 639-1 (fixed values).
 CODES = {
@@ -54,28 +58,32 @@ def label(value: str | None) -> str | None:
 
 
 def label_column(c: Column) -> Column:
-    """label() in SQL."""
-    x = F.split(F.lower(F.trim(c)), "[-_]")[0]
-    known = F.create_map(*(F.lit(v) for kv in CODES.items() for v in kv))
-    x = F.coalesce(known[x], x)
-    return F.when(F.lower(F.trim(c)).isin(*MEANINGLESS), None).when(x.rlike("^[a-z]{2}$") & (x != "xx"), x)
-
-
-def grams(text: str) -> Counter:
-    out: Counter = Counter()
-    for w in _WORDS.findall(_NOISE.sub(" ", text).lower()):
-        if w[0] >= "฀":  # no spaces between words
-            out.update(w)
-            out.update(w[i:i + 2] for i in range(len(w) - 1))
-            continue
-        w = f" {w} "
-        n = len(w)
-        out.update(w[1:-1])
-        out.update([w[i:i + 2] for i in range(n - 1)])
-        out.update([w[i:i + 3] for i in range(n - 2)])
-        out.update([w[i:i + 4] for i in range(n - 3)])
-        out.update([w[i:i + 5] for i in range(n - 4)])
-    return out
+    """label() in SQL; the cleaned value is bound once by a one-element transform."""
+    by: dict[str, list[str]] = defaultdict(list)
+    for three, two in CODES.items():
+        by[two].append(three)
+
+    def code(x: Column) -> Column:
+        out = F.when(x.rlike("^[a-z]{2}$") & (x != "xx"), x)
+        for two, threes in by.items():
+            out = out.when(x.isin(*threes), two)
+        return out
+
+    low = F.lower(F.trim(c))
+    base = F.when(~low.isin(*MEANINGLESS), F.trim(F.regexp_extract(low, "^[^_-]*", 0)))
+    return F.transform(F.array(base), code)[0]
+
+
+def word_grams(w: str) -> list[str]:
+    if w[0] >= "฀":  # no spaces between words
+        return [*w, *(w[i:i + 2] for i in range(len(w) - 1))]
+    w = f" {w} "
+    n = len(w)
+    return [*w[1:-1], *(w[i:i + k] for k in (2, 3, 4, 5) for i in range(n - k + 1))]
+
+
+def grams(text: str) -> set[str]:
+    return {g for w in set(_WORDS.findall(_NOISE.sub(" ", text).lower())) for g in word_grams(w)}
 
 
 class Profiles:
@@ -87,53 +95,79 @@ class Profiles:
         for k in self.langs:
             for g in ranked[k]:
                 self.index.setdefault(g, len(self.index))
-        self.rank = np.full((len(self.index), max(1, len(self.langs))), PROFILE, np.float32)
+        self.words: dict[str, np.ndarray] = {}
+        self.rank = np.full((len(self.index), max(1, len(self.langs))), 2 * PROFILE, np.float32)  # not in the profile: as far as can be
         for j, k in enumerate(self.langs):
             for r, g in enumerate(ranked[k]):
                 self.rank[self.index[g], j] = r
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> Profiles:
-        """From (language, text); labels that the fitted profiles don't bear out are corrected, then dropped."""
-        counted = [(k, grams(t)) for k, t in rows]
-        said = [k for k, _ in counted]
-        for turn in range(3):
+    def fit(cls, rows: list[tuple[str, str]], sizes: dict[str, int] | None = None) -> Profiles:
+        """From (label, text); sizes are the labels' counts in the whole corpus.
+
+        A label is no language of its own, but a wrong name of others, if its texts are as near to the profiles of
+        commoner labels as those labels' own texts are. Then the texts are labelled anew and the profiles made again.
+        """
+        counted = [(k, grams(t), t) for k, t in rows]
+        sizes = sizes or Counter(k for k, *_ in counted)
+
+        def make(said: list[str]) -> Profiles:
             by: dict[str, Counter] = defaultdict(Counter)
-            for k, (_, c) in zip(said, counted):
-                by[k].update(c.keys())  # document frequency: no long text rules a profile
-            size = Counter(said)
-            model = cls({k: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:PROFILE]] for k, c in by.items() if size[k] >= 2})
-            if turn < 2 and model.langs:
-                best = [model.best(c) for _, c in counted]
-                kept = Counter(b for (k, _), b in zip(counted, best) if b == k)
-                of = Counter(k for k, _ in counted)
-                true = {k for k in of if kept[k] * 3 >= of[k]} or set(of)
-                said = [b if b in true else k if k in true else "" for (k, _), b in zip(counted, best)]
-                pairs = [(k, c) for k, c in zip(said, counted) if k]
-                said, counted = [k for k, _ in pairs], [c for _, c in pairs]
-        return model
-
-    def distances(self, c: Counter) -> np.ndarray | None:
-        """Mean out-of-place distance to each language, 0 to 1."""
-        ordered = sorted(c.items(), key=lambda x: -x[1])[:PROFILE]
-        if not ordered or not self.langs:
-            return None
-        at = np.array([self.index.get(g, -1) for g, _ in ordered])
-        n = np.array([x for _, x in ordered], np.float32)
-        known = at >= 0
-        if not known.any():
+            for k, (_, c, _) in zip(said, counted):
+                if k:
+                    by[k].update(c)  # document frequency: no long text rules a profile
+            return cls({k: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:PROFILE]] for k, c in by.items()})
+
+        said = [k for k, *_ in counted]
+        model = make(said)
+        at = {k: j for j, k in enumerate(model.langs)}
+        d = [(k, model.distances(model.text_ids(t))) for k, _, t in counted]
+        d = [(k, x) for k, x in d if x is not None]
+        own = {k: [x[j] for s, x in d if s == k] for k, j in at.items()}
+        usual = {k: np.quantile(v, (0.75, 0.92, 0.92)) * (1, 1, 1.1) for k, v in own.items() if v}
+        true = sorted(usual, key=lambda k: (-sizes.get(k, 0), k))
+        for k in reversed(true[1:]):
+            more = [j for j in true if j != k and (sizes.get(j, 0), j) > (sizes.get(k, 0), k)]
+            texts = [x for s, x in d if s == k]
+            few = (len(texts) < FEW) + (len(texts) < 5)  # a profile of few texts lies close to them, whatever they are
+            foreign = sum(any(x[at[j]] <= usual[j][few] for j in more) for x in texts)
+            if foreign * 2 >= len(texts):
+                true.remove(k)
+        said = [k if k in true else "" for k in said]
+        for _ in range(2):
+            model = make(said)
+            said = [model.best(t) or "" for *_, t in counted]
+        return make(said)
+
+    def ids(self, word: str) -> np.ndarray:
+        """Places of a word's n-grams among those of any profile; words come again and again, so they are kept."""
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) >= KEPT_WORDS:
+                self.words.clear()
+            index = self.index
+            got = self.words[word] = np.array([index[g] for g in word_grams(word) if g in index], np.int32)
+        return got
+
+    def text_ids(self, text: str) -> np.ndarray:
+        parts = [self.ids(w) for w in _WORDS.findall(_NOISE.sub(" ", text).lower())]
+        return np.concatenate(parts) if parts else _EMPTY
+
+    def distances(self, ids: np.ndarray) -> np.ndarray | None:
+        """Mean out-of-place distance to each language, 0 to 1; None for a text without an n-gram of any profile."""
+        if not len(ids) or not self.langs:
             return None
+        found, n = np.unique(ids, return_counts=True)
+        if len(found) > PROFILE:
+            top = np.argpartition(-n, PROFILE)[:PROFILE]
+            found, n = found[top], n[top]
         # ties share their middle rank; a short text's ranks are spread over the profile's length
-        first = np.searchsorted(-n, -n, "left")
-        last = np.searchsorted(-n, -n, "right")
-        own = (first + last - 1) / 2 * (PROFILE / max(len(n), 1)) if len(n) < PROFILE else (first + last - 1) / 2
-        ranks = self.rank[at[known]]
-        d = np.minimum(np.abs(ranks - own[known][:, None]) / PROFILE, 1)
-        d[ranks >= PROFILE] = 1
-        return (d.sum(0) + (~known).sum()) / len(n)
-
-    def best(self, c: Counter) -> str | None:
-        d = self.distances(c)
+        order = np.sort(-n)
+        own = (np.searchsorted(order, -n, "left") + np.searchsorted(order, -n, "right") - 1) * (0.5 * PROFILE / len(n))
+        return np.minimum(np.abs(self.rank[found] - own[:, None].astype(np.float32)), PROFILE).mean(0) / PROFILE
+
+    def best(self, text: str) -> str | None:
+        d = self.distances(self.text_ids(text))
         return None if d is None else self.langs[int(d.argmin())]
 
 
@@ -155,25 +189,25 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     for r in known.where(keep).orderBy("_h").collect():
         if len(got[r["_k"]]) < sample:
             got[r["_k"]].append(r["_t"])
-    return Profiles.fit([(k, t) for k in sorted(got) for t in got[k]])
+    return Profiles.fit([(k, t) for k in sorted(got) for t in got[k]], sizes)
 
 
 class Detector:
     def __init__(self, profiles: Profiles):
         self.p = profiles
 
-    def segments(self, text: str | None) -> list[tuple[int, int, str, float, bool]]:
+    def segments(self, text: str | None) -> tuple[list[tuple[int, int, str, float, bool]], np.ndarray | None]:
         """(start, end, language, confidence, prose) of each sentence that shows a language."""
         text = text or ""
         out = []
-        whole = self.p.distances(grams(text))
+        units = [(a, b, text[a:b]) for a, b in spans(text)]
+        parts = [self.p.text_ids(u) for *_, u in units]
+        whole = self.p.distances(np.concatenate(parts) if parts else _EMPTY)
         if whole is None:
-            return []
+            return [], None
         main = int(whole.argmin())
-        for a, b in spans(text):
-            unit = text[a:b]
-            c = grams(unit)
-            d = self.p.distances(c)
+        for (a, b, unit), ids in zip(units, parts):
+            d = self.p.distances(ids)
             if d is None:
                 continue
             k = int(d.argmin())
@@ -187,23 +221,23 @@ class Detector:
                 k = main
             prose = sum(len(w) // 2 if w[0] >= "฀" else 1 for w in found) >= LEAST_WORDS and (wide or unit.rstrip("\"'’”»«)]*_ ")[-1:] in ".!?…:;।؟。！？")
             out.append((a, b, self.p.langs[k], conf, prose))
-        return out
+        return out, whole
 
     def document(self, text: str | None) -> tuple[str | None, float, list[str], list[tuple[int, int, str, float]]]:
         """(language, confidence, languages of its running prose, merged segments)."""
-        found = self.segments(text)
+        found, whole = self.segments(text)
         if not found:
             return None, 0.0, [], []
         size: dict[str, int] = defaultdict(int)
-        prose: dict[str, int] = defaultdict(int)
-        for a, b, k, _, p in found:
+        prose: dict[str, list[float]] = defaultdict(list)
+        for a, b, k, c, p in found:
             size[k] += b - a
-            prose[k] += p
-        whole = self.p.distances(grams(text or ""))
-        order = sorted(zip(whole, self.p.langs)) if whole is not None else []
+            if p:
+                prose[k].append(c)
+        order = sorted(zip(whole, self.p.langs))
         main = max(sorted(size), key=lambda k: size[k])
         conf = (order[1][0] - order[0][0]) / max(order[1][0], 1e-6) if len(order) > 1 else 1.0
-        langs = [k for k in sorted(prose) if prose[k] >= LEAST_SENTENCES] or [main]
+        langs = [k for k in sorted(prose) if len(prose[k]) >= LEAST_SENTENCES and (k == main or sum(prose[k]) >= LEAST_CONFIDENCE * len(prose[k]))] or [main]
         merged: list[list] = []
         for a, b, k, c, _ in found:
             if merged and merged[-1][2] == k:
