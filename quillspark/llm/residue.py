@@ -90,7 +90,9 @@ def placeholder(s: str) -> bool:
 
 def message(s: str) -> bool:
     """Whether a line is an error, a notice or a prompt by its wording."""
-    return len(s) <= 200 and _MESSAGE.fullmatch(s) is not None
+    if len(s) > 200:
+        return False
+    return _MESSAGE.fullmatch(_QUOTED.sub(" ", s).strip() if any(c in s for c in "\"«»“”„`") else s) is not None
 
 
 def ungrammatical(words: list[str]) -> bool:

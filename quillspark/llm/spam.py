@@ -29,6 +29,7 @@ from quillspark.operators.rows import flat_map
 SAMPLE = 2500
 LEAST_WORDS = 8
 SHARE = 0.5
+AGAIN = 0.45  # a keyword before ever new names repeats every second word
 BAND = 0.01  # prose share beyond either end of the normal band
 
 #: Function words that make sentences: D articles and demonstratives, S pronouns, K conjunctions, V auxiliaries.
@@ -225,6 +226,8 @@ def unwritten(s: Segment, strong: int) -> bool:
     """Whether a segment lacks the function words of a sentence, or is made of tags or bare links."""
     if s.tags >= 2 and s.tags * 2 >= s.words:
         return True
+    if s.classes[-2:] == ["E", "N"]:
+        return False  # a line of contents: leaders and a page
     if s.wide:
         return not s.ended_ever and strong == 0
     if s.ended_ever and not s.links:
@@ -242,7 +245,7 @@ def keyword_words(suspects: list[Segment], often: Counter) -> int:
     count = sum(s.words for s in bare)
     real = [w for s in rest for w in s.content if len(w) > 2 or w in _GROUP]
     again = sum(often[w] >= 2 for w in real)
-    if real and again >= 0.55 * len(real) and max((often[w] for w in real), default=0) >= 3:
+    if real and again >= AGAIN * len(real) and max((often[w] for w in real), default=0) >= 3:
         count += sum(s.words for s in rest)
     return count
 
