@@ -248,16 +248,22 @@ class Detector:
         return main, round(float(conf), 4), langs, [tuple(m) for m in merged]
 
 
-def detect_languages(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per document: detected, confidence, languages, segments (character offsets), and the kept columns."""
-    sent = df.sparkSession.sparkContext.broadcast(profiles)
+def detect_languages(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, without: Callable[[str | None], bool] | None = None) -> DataFrame:
+    """One row per document: detected, confidence, languages, segments (character offsets), and the kept columns.
+
+    Texts for which `without` holds have no row; the test runs in the same pass, so nothing is joined.
+    """
+    sent = df.sparkSession.sparkContext.broadcast((profiles, without))
     keep = keep or []
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [id_col, *keep])
 
     def make() -> Callable[..., Iterator[tuple]]:
-        detector = Detector(sent.value)
+        fitted, skip = sent.value
+        detector = Detector(fitted)
 
         def rows(text, *own):  # noqa: ANN001, ANN202
+            if skip is not None and skip(text):
+                return
             main, conf, langs, segments = detector.document(text)
             yield (*own, main, conf, langs, [{"start": a, "end": b, "lang_code": k, "confidence": c} for a, b, k, c in segments])
 

@@ -64,8 +64,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    found = language.detect_languages(documents, language.fit(documents), keep=["lang"])
-    return language.mislabelled(found).join(p9_found(spark, folder), "doc_id", "left_anti")
+    pages = spam.fit(documents)
+    return language.mislabelled(language.detect_languages(documents, language.fit(documents), keep=["lang"], without=pages.is_spam))
 
 
 def _latest(df: DataFrame, key: str, time: str) -> DataFrame:

@@ -158,7 +158,9 @@ def bound_words(text: str) -> set[str]:
     for a, b in zip(words, words[1:]):
         if a in _GROUP:
             after.setdefault(a, Counter())[b] += 1
-    return {a for a, c in after.items() if (n := sum(c.values())) >= 3 and c.most_common(1)[0][1] >= 0.7 * n}
+    bound = {a for a, c in after.items() if (n := sum(c.values())) >= 3 and c.most_common(1)[0][1] >= 0.7 * n}
+    # sentences said again and again bind many function words, keywords one or two
+    return bound if sum(_GROUP[a] in _STRONG for a in bound) <= 2 else set()
 
 
 def segments(text: str | None) -> list[Segment]:
@@ -222,6 +224,10 @@ class Model:
         return odd / total, bad / total, odd > SHARE * total and bad > SHARE * total
 
 
+    def is_spam(self, text: str | None) -> bool:
+        return self.judge(text)[2]
+
+
 def unwritten(s: Segment, strong: int) -> bool:
     """Whether a segment lacks the function words of a sentence, or is made of tags or bare links."""
     if s.tags >= 2 and s.tags * 2 >= s.words:
