@@ -45,7 +45,7 @@ PATTERNS = [
     ("strong", "markdown", r"(?<![*\\])\*{1,3}[^*\n]{1,200}\*{1,3}"),
     ("under", "markdown", r"_{1,3}[^_\n]{1,80}_{1,3}|(?<=\w)_(?=\w)"),
     ("strike", "markdown", r"~~[^~\n]{1,120}~~|~(?=\d)"),
-    ("atx", "markdown", r"(?<!&)#{1,6}[ \t]*[^\s#][^\n]*"),
+    ("atx", "markdown", r"(?m)^[ \t]{0,3}#{1,6}[ \t]*[^\s#][^\n]*"),
     ("setext", "markdown", r"(?m)(?<=\n)[=-]{3,}[ \t]*$"),
     ("link", "markdown", r"!?\[[^\[\]\n]{0,200}\](?:\([^()\n]{0,200}\)|\[[^\[\]\n]{0,60}\])?"),
     ("row", "markdown", r"(?m)^[ \t]*\|[^\n]*\|[ \t]*$|(?<=\w) \| (?=\w)"),
@@ -238,7 +238,14 @@ def train(texts: list[str], seed: int = 7) -> Boosted:
             parts.append((r.choice(plain) + " ", None))
             if r.random() < 0.7:
                 mark = some and r.random() < 0.6
-                parts.append(((_marked if mark else _literal)(r, r.choice(plain)) + r.choice([" ", " ", "\n", ""]), mark))
+                state = r.getstate()
+                snippet = (_marked if mark else _literal)(r, r.choice(plain))
+                if not mark and r.random() < 0.4:  # the same signs twice on a line may look like a pair
+                    again = r.getstate()
+                    r.setstate(state)
+                    snippet += f" {r.choice(plain)} " + _literal(r, r.choice(plain))
+                    r.setstate(again)
+                parts.append((snippet + r.choice([" ", " ", "\n", ""]), mark))
         text, spans = "", []
         for s, mark in parts:
             if mark:

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import language, leaks, markup, mixing, pagebody, reading, residue, sentences, spam
-from quillspark.sources.tables import table
+from quillspark.operators.rows import spread
+from quillspark.sources import tables
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table in at least as many partitions as there are cores: its rows go through Python."""
+    return spread(tables.table(spark, folder, name))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
