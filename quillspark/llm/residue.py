@@ -120,7 +120,8 @@ class Page:
         self.short = self.words <= SHORT
         self.agrees = False
         if self.short:
-            self.agrees = bool((terms(slug(url)) | terms(title or "")) & terms(" ".join(rest)))
+            # a heading of its own says what the page is about
+            self.agrees = any(not message(h) for h in heads) or bool((terms(slug(url)) | terms(title or "")) & terms(" ".join(rest)))
         if rest:
             self.message = all(message(t) or ungrammatical(_WORD.findall(t)) for t in rest)
             if not self.message and not any(len(w := _WORD.findall(t)) >= 4 and not ungrammatical(w) for t in rest):
