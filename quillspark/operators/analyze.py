@@ -40,7 +40,8 @@ def analyze(df: DataFrame, text_col: str = "text", lang: str = "auto", mode: str
             rows.append((k, lang == "auto", *pytext.counts(t, k)))
         return pd.DataFrame(rows, columns=[f.name for f in _FIELDS])
 
-    udf = F.pandas_udf(run, StructType(_FIELDS))
+    # marked so that no rule copies the call into filters and projections above it
+    udf = F.pandas_udf(run, StructType(_FIELDS)).asNondeterministic()
     own = [f.name for f in _FIELDS] + ["avg_sentence_length", "avg_syllables_per_word", "avg_word_length"]
     kept = [c for c in df.columns if c.lower() not in own]
     s = df.withColumn("_stats", udf(F.col(text_col))).select(*kept, "_stats.*")

@@ -70,7 +70,7 @@ def lint_warnings(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stripped_pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "scrape_responses").select("response_id", "ingested_at", strip.strip_column(F.col("markdown")).alias("prose"))
+    return spread(table(spark, d, "scrape_responses").select("response_id", "ingested_at", "markdown")).select("response_id", "ingested_at", strip.strip_column(F.col("markdown")).alias("prose"))
 
 
 @query
