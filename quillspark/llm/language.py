@@ -155,16 +155,27 @@ class Profiles:
 
     def distances(self, ids: np.ndarray) -> np.ndarray | None:
         """Mean out-of-place distance to each language, 0 to 1; None for a text without an n-gram of any profile."""
-        if not len(ids) or not self.langs:
-            return None
-        found, n = np.unique(ids, return_counts=True)
-        if len(found) > PROFILE:
-            top = np.argpartition(-n, PROFILE)[:PROFILE]
-            found, n = found[top], n[top]
+        return self.distances_of([ids])[0]
+
+    def distances_of(self, texts: list[np.ndarray]) -> list[np.ndarray | None]:
+        """distances() of many texts in one go over arrays."""
+        if not self.langs or not any(map(len, texts)):
+            return [None] * len(texts)
+        size = len(self.index)
+        found, n = np.unique(np.concatenate([t + np.int64(k * size) for k, t in enumerate(texts)]), return_counts=True)
+        of, gram = found // size, found % size
+        begin = np.searchsorted(of, np.arange(len(texts) + 1))
+        kinds = np.diff(begin)
         # ties share their middle rank; a short text's ranks are spread over the profile's length
-        order = np.sort(-n)
-        own = (np.searchsorted(order, -n, "left") + np.searchsorted(order, -n, "right") - 1) * (0.5 * PROFILE / len(n))
-        return np.minimum(np.abs(self.rank[found] - own[:, None].astype(np.float32)), PROFILE).mean(0) / PROFILE
+        key = of * np.int64(1 << 32) - n
+        order = np.sort(key)
+        middle = (np.searchsorted(order, key, "left") + np.searchsorted(order, key, "right") - 1) * 0.5 - begin[of]
+        own = middle * (PROFILE / np.clip(kinds, 1, PROFILE))[of]
+        off = np.minimum(np.abs(self.rank[gram] - own[:, None].astype(np.float32)), PROFILE)
+        off[own >= PROFILE] = 0  # beyond the profile's length a rank says nothing
+        counted = np.add.reduceat(np.append(own < PROFILE, False).astype(np.int64), begin[:-1])
+        sums = np.add.reduceat(np.vstack([off, np.zeros((1, off.shape[1]), off.dtype)]), begin[:-1], axis=0)
+        return [sums[k] / (PROFILE * max(1, counted[k])) if kinds[k] else None for k in range(len(texts))]
 
     def best(self, text: str) -> str | None:
         d = self.distances(self.text_ids(text))
@@ -200,14 +211,14 @@ class Detector:
         """(start, end, language, confidence, prose) of each sentence that shows a language."""
         text = text or ""
         out = []
-        units = [(a, b, text[a:b]) for a, b in spans(text)]
-        parts = [self.p.text_ids(u) for *_, u in units]
-        whole = self.p.distances(np.concatenate(parts) if parts else _EMPTY)
+        plain = _NOISE.sub(lambda m: " " * len(m.group()), text)
+        units = [(a, b, _WORDS.findall(plain, a, b)) for a, b in spans(text)]
+        parts = [np.concatenate([self.p.ids(w.lower()) for w in words]) if words else _EMPTY for *_, words in units]
+        whole, *each = self.p.distances_of([np.concatenate(parts) if parts else _EMPTY, *parts])
         if whole is None:
             return [], None
         main = int(whole.argmin())
-        for (a, b, unit), ids in zip(units, parts):
-            d = self.p.distances(ids)
+        for (a, b, found), d in zip(units, each):
             if d is None:
                 continue
             k = int(d.argmin())
@@ -215,11 +226,10 @@ class Detector:
                 k = main
             rest = np.delete(d, k)
             conf = float(max(0.0, (rest.min() - d[k]) / max(rest.min(), 1e-6))) if len(rest) else 1.0
-            found = _WORDS.findall(unit)
             wide = any(w[0] >= "฀" for w in found)
             if not wide and k != main and sum(map(len, found)) < LEAST_LETTERS:
                 k = main
-            prose = sum(len(w) // 2 if w[0] >= "฀" else 1 for w in found) >= LEAST_WORDS and (wide or unit.rstrip("\"'’”»«)]*_ ")[-1:] in ".!?…:;।؟。！？")
+            prose = sum(len(w) // 2 if w[0] >= "฀" else 1 for w in found) >= LEAST_WORDS and (wide or text[a:b].rstrip("\"'’”»«)]*_ ")[-1:] in ".!?…:;।؟。！？")
             out.append((a, b, self.p.langs[k], conf, prose))
         return out, whole
 
