@@ -25,7 +25,8 @@ from quillspark.operators.rows import flat_map
 
 SAMPLE = 300  # labelled rows a label
 PROFILE = 500  # n-grams a profile
-FEW = 25
+CORE = 0.1  # share of a label's texts that have a core word
+NEAR = 0.75  # of the usual coverage by core words
 KEPT_WORDS = 100_000
 _EMPTY = np.zeros(0, np.int32)
 LEAST_WORDS = 4  # of a sentence that counts as prose
@@ -86,6 +87,14 @@ def grams(text: str) -> set[str]:
     return {g for w in set(_WORDS.findall(_NOISE.sub(" ", text).lower())) for g in word_grams(w)}
 
 
+def text_words(text: str) -> set[str]:
+    """Words of a text; pairs of characters where words aren't spaced."""
+    out: set[str] = set()
+    for w in _WORDS.findall(_NOISE.sub(" ", text).lower()):
+        out.update([w[i:i + 2] for i in range(len(w) - 1)] if w[0] >= "฀" else [w])
+    return out
+
+
 class Profiles:
     """Ranked n-grams of every language."""
 
@@ -105,8 +114,8 @@ class Profiles:
     def fit(cls, rows: list[tuple[str, str]], sizes: dict[str, int] | None = None) -> Profiles:
         """From (label, text); sizes are the labels' counts in the whole corpus.
 
-        A label is no language of its own, but a wrong name of others, if its texts are as near to the profiles of
-        commoner labels as those labels' own texts are. Then the texts are labelled anew and the profiles made again.
+        A label is no language of its own, but a wrong name of others, if the core words of commoner labels cover most of
+        its texts as well as those labels' own texts. Then the texts are labelled anew and the profiles made again.
         """
         counted = [(k, grams(t), t) for k, t in rows]
         sizes = sizes or Counter(k for k, *_ in counted)
@@ -118,21 +127,20 @@ class Profiles:
                     by[k].update(c)  # document frequency: no long text rules a profile
             return cls({k: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:PROFILE]] for k, c in by.items()})
 
-        said = [k for k, *_ in counted]
-        model = make(said)
-        at = {k: j for j, k in enumerate(model.langs)}
-        d = [(k, model.distances(model.text_ids(t))) for k, _, t in counted]
-        d = [(k, x) for k, x in d if x is not None]
-        own = {k: [x[j] for s, x in d if s == k] for k, j in at.items()}
-        usual = {k: np.quantile(v, (0.75, 0.92, 0.92)) * (1, 1, 1.1) for k, v in own.items() if v}
-        true = sorted(usual, key=lambda k: (-sizes.get(k, 0), k))
+        # core words of a label: those that many of its texts share, so that stray texts add none
+        texts: dict[str, list[set[str]]] = defaultdict(list)
+        for k, _, t in counted:
+            if w := text_words(t):
+                texts[k].append(w)
+        core = {k: {w for w, n in Counter(w for x in v for w in x).items() if n >= max(2, CORE * len(v))} for k, v in texts.items()}
+        usual = {k: float(np.median([len(x & core[k]) / len(x) for x in v])) for k, v in texts.items()}
+        true = sorted(texts, key=lambda k: (-sizes.get(k, 0), k))
         for k in reversed(true[1:]):
-            more = [j for j in true if j != k and (sizes.get(j, 0), j) > (sizes.get(k, 0), k)]
-            texts = [x for s, x in d if s == k]
-            few = (len(texts) < FEW) + (len(texts) < 5)  # a profile of few texts lies close to them, whatever they are
-            foreign = sum(any(x[at[j]] <= usual[j][few] for j in more) for x in texts)
-            if foreign * 2 >= len(texts):
+            more = [j for j in true if j != k and (sizes.get(j, 0), j) > (sizes.get(k, 0), k) and len(texts[j]) >= 5]
+            foreign = sum(any(len(x & core[j]) >= NEAR * usual[j] * len(x) for j in more) for x in texts[k])
+            if foreign * 2 >= len(texts[k]):
                 true.remove(k)
+        said = [k for k, *_ in counted]
         said = [k if k in true else "" for k in said]
         for _ in range(2):
             model = make(said)
