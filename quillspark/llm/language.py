@@ -29,6 +29,8 @@ CORE = 0.1  # share of a label's texts that have a core word
 NEAR = 0.75  # of the usual coverage by core words
 KEPT_WORDS = 100_000
 _EMPTY = np.zeros(0, np.int32)
+DENSE = ("zh", "ja", "ko")
+TIE = 0.04  # a lead under which the label's word counts
 LEAST_WORDS = 4  # of a sentence that counts as prose
 LEAST_LETTERS = 24  # fewer letters, in a script with spaces, say too little against the rest of the text
 LEAST_SENTENCES = 2
@@ -211,6 +213,12 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return Profiles.fit([(k, t) for k in sorted(got) for t in got[k]], sizes)
 
 
+def _prose(words: list[str], unit: str) -> bool:
+    """Whether a unit is a sentence: words enough, and a stop where the script has stops and spaces."""
+    wide = any(w[0] >= "฀" for w in words)
+    return sum(len(w) // 2 if w[0] >= "฀" else 1 for w in words) >= LEAST_WORDS and (wide or unit.rstrip("\"'’”»«)]*_ ")[-1:] in ".!?…:;।؟。！？")
+
+
 class Detector:
     def __init__(self, profiles: Profiles):
         self.p = profiles
@@ -222,11 +230,13 @@ class Detector:
         plain = _NOISE.sub(lambda m: " " * len(m.group()), text)
         units = [(a, b, _WORDS.findall(plain, a, b)) for a, b in spans(text)]
         parts = [np.concatenate([self.p.ids(w.lower()) for w in words]) if words else _EMPTY for *_, words in units]
-        whole, *each = self.p.distances_of([np.concatenate(parts) if parts else _EMPTY, *parts])
+        prose = [_prose(words, text[a:b]) for a, b, words in units]
+        told = [ids for ids, p in zip(parts, prose) if p] or parts  # phrases don't speak for the text where sentences do
+        whole, *each = self.p.distances_of([np.concatenate(told) if told else _EMPTY, *parts])
         if whole is None:
             return [], None
         main = int(whole.argmin())
-        for (a, b, found), d in zip(units, each):
+        for (a, b, found), d, p in zip(units, each, prose):
             if d is None:
                 continue
             k = int(d.argmin())
@@ -234,26 +244,25 @@ class Detector:
                 k = main
             rest = np.delete(d, k)
             conf = float(max(0.0, (rest.min() - d[k]) / max(rest.min(), 1e-6))) if len(rest) else 1.0
-            wide = any(w[0] >= "฀" for w in found)
-            if not wide and k != main and sum(map(len, found)) < LEAST_LETTERS:
+            if k != main and sum(map(len, found)) < LEAST_LETTERS and not any(w[0] >= "฀" for w in found):
                 k = main
-            prose = sum(len(w) // 2 if w[0] >= "฀" else 1 for w in found) >= LEAST_WORDS and (wide or text[a:b].rstrip("\"'’”»«)]*_ ")[-1:] in ".!?…:;।؟。！？")
-            out.append((a, b, self.p.langs[k], conf, prose))
+            out.append((a, b, self.p.langs[k], conf, p))
         return out, whole
 
-    def document(self, text: str | None) -> tuple[str | None, float, list[str], list[tuple[int, int, str, float]]]:
-        """(language, confidence, languages of its running prose, merged segments)."""
+    def document(self, text: str | None) -> tuple[str | None, float, str | None, list[str], list[tuple[int, int, str, float]]]:
+        """(language, confidence, next best language, languages of its running prose, merged segments)."""
         found, whole = self.segments(text)
         if not found:
-            return None, 0.0, [], []
-        size: dict[str, int] = defaultdict(int)
+            return None, 0.0, None, [], []
         prose: dict[str, list[float]] = defaultdict(list)
         for a, b, k, c, p in found:
-            size[k] += b - a
             if p:
                 prose[k].append(c)
         order = sorted(zip(whole, self.p.langs))
-        main = max(sorted(size), key=lambda k: size[k])
+        weight: dict[str, float] = defaultdict(float)
+        for a, b, k, c, p in found:  # running prose speaks for the text before phrases do; dense scripts say more a character
+            weight[k] += (b - a) * (2.5 if k in DENSE else 1) * (10 if p else 1)
+        main = max(sorted(weight), key=lambda k: weight[k])
         conf = (order[1][0] - order[0][0]) / max(order[1][0], 1e-6) if len(order) > 1 else 1.0
         langs = [k for k in sorted(prose) if len(prose[k]) >= LEAST_SENTENCES and (k == main or sum(prose[k]) >= LEAST_CONFIDENCE * len(prose[k]))] or [main]
         merged: list[list] = []
@@ -263,7 +272,8 @@ class Detector:
                 merged[-1][3] = max(merged[-1][3], c)
             else:
                 merged.append([a, b, k, c])
-        return main, round(float(conf), 4), langs, [tuple(m) for m in merged]
+        second = next((k for _, k in order if k != main), None)
+        return main, round(float(conf), 4), second, langs, [tuple(m) for m in merged]
 
 
 def detect_languages(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, without: Callable[[str | None], bool] | None = None) -> DataFrame:
@@ -282,12 +292,12 @@ def detect_languages(df: DataFrame, profiles: Profiles, id_col: str = "doc_id",
         def rows(text, *own):  # noqa: ANN001, ANN202
             if skip is not None and skip(text):
                 return
-            main, conf, langs, segments = detector.document(text)
-            yield (*own, main, conf, langs, [{"start": a, "end": b, "lang_code": k, "confidence": c} for a, b, k, c in segments])
+            main, conf, second, langs, segments = detector.document(text)
+            yield (*own, main, conf, second, langs, [{"start": a, "end": b, "lang_code": k, "confidence": c} for a, b, k, c in segments])
 
         return rows
 
-    schema = f"{kinds}, detected string, confidence double, languages array<string>, segments array<struct<start:int,end:int,lang_code:string,confidence:double>>"
+    schema = f"{kinds}, detected string, confidence double, second string, languages array<string>, segments array<struct<start:int,end:int,lang_code:string,confidence:double>>"
     return flat_map(df, [text_col, id_col, *keep], make, schema)
 
 
@@ -295,4 +305,5 @@ def mislabelled(found: DataFrame, id_col: str = "doc_id", lang_col: str = "lang"
     """Rows of detect_languages (with the label kept) whose label is missing or wrong, or whose text is mixed: one per language."""
     said = label_column(F.col(lang_col))
     wrong = said.isNull() | (F.size("languages") > 1) | ~F.array_contains("languages", said)
-    return found.where(F.col("detected").isNotNull() & wrong).select(id_col, F.explode("languages").alias("lang_code"))
+    tie = (F.size("languages") == 1) & (F.col("confidence") < TIE) & F.coalesce(said == F.col("second"), F.lit(False))
+    return found.where(F.col("detected").isNotNull() & wrong & ~tie).select(id_col, F.explode("languages").alias("lang_code"))

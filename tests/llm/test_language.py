@@ -25,10 +25,10 @@ def test_fit_drops_wrong_labels():
 
 def test_documents():
     d = language.Detector(language.Profiles.fit(rows()))
-    main, conf, langs, seg = d.document(" ".join(EN) + "\n\n" + " ".join(FR))
+    main, conf, _, langs, seg = d.document(" ".join(EN) + "\n\n" + " ".join(FR))
     assert langs == ["en", "fr"] and 0 < conf <= 1 and [s[2] for s in seg] == ["en", "fr"]
-    assert d.document(" ".join(DE) + ' "Cependant."')[2] == ["de"]
-    assert d.document(None) == (None, 0.0, [], []) == d.document(" 12 … ")
+    assert d.document(" ".join(DE) + ' "Cependant."')[3] == ["de"]
+    assert d.document(None) == (None, 0.0, None, [], []) == d.document(" 12 … ")
 
 
 def test_labels(spark):
