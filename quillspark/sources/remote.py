@@ -230,6 +230,46 @@ def filter_papers(papers: DataFrame, authors: list[str] | None = None, categorie
     return out.orderBy(F.col("score").desc_nulls_last(), "paper_id").limit(min(100, n)) if n > 0 else out
 
 
+@dataclass
+class DataTools:
+    """Tools of a data service: its catalogue, and runs whose raw answers entities.records splits."""
+
+    transport: Transport
+    base_url: str
+
+    def find(self, query: str, limit: int = 10) -> list[dict]:
+        return call(self.transport, "POST", f"{self.base_url}/tools/search", {"query": query, "limit": min(100, max(1, limit or 10))}).get("tools", [])
+
+    def run(self, tool: str, options: dict) -> str:
+        provider, _, capability = tool.strip().lower().partition("/")
+        if not provider or not capability:
+            raise TextError("invalid_args", f"tool id {tool} is not provider/capability")
+        got = call(self.transport, "POST", f"{self.base_url}/tools/{provider}/{capability}", options)
+        if got in (None, {}, []):
+            raise TextError("not_found", f"{tool} found nothing")
+        return json.dumps(got)
+
+
+def run_tool(calls: DataFrame, source: DataTools, tool: str) -> DataFrame:
+    """The answer for each distinct JSON of options in column options."""
+
+    def make() -> Callable[..., list[tuple]]:
+        return _guarded(lambda options: (source.run(tool, json.loads(options)),), 1)
+
+    return flat_map(calls.select("options").distinct(), ["options"], make, f"options string, response string, {ERROR}")
+
+
+def parse_option(text: str) -> tuple[str, Any]:
+    """key=value, the value as JSON where it parses."""
+    key, eq, value = text.partition("=")
+    if not eq or not key.strip():
+        raise TextError("invalid_args", f"{text} is not key=value")
+    try:
+        return key.strip(), json.loads(value)
+    except ValueError:
+        return key.strip(), value
+
+
 @dataclass
 class EntityProvider:
     """A provider whose answers entities.parse_response reads; capabilities: entities, sentiment, categories."""
