@@ -46,7 +46,10 @@ def order(by: str, salience: str = "salience", mentions: str = "mentions") -> li
 
 
 def top(df: DataFrame, n: int, by: str = "salience", within: str | None = "doc", salience: str = "salience", mentions: str = "mentions") -> DataFrame:
-    """The first n rows per document, or overall where within is None; all of them for n <= 0."""
+    """The first n rows per document, or overall where within is None; all of them for n <= 0.
+
+    The rank filter becomes a group limit before the shuffle, so a document with very many rows sends n a task.
+    """
     if n <= 0:
         return df
     keys = order(by, salience, mentions)
@@ -92,8 +95,11 @@ def enrich(entities: DataFrame, articles: DataFrame, limit: int = 1_000_000) ->
     keyed = entities.withColumns({"_lang": native.article_url_language("wikipedia_url"), "_title": native.article_url_title("wikipedia_url")})
     base = articles.select(native.article_language("lang").alias("_lang"), native.canonical_title("title").alias("_title"), F.struct(*articles.columns).alias("article"))
     base = base.groupBy("_lang", "_title").agg(F.min("article").alias("article"))
-    small = base.limit(limit + 1).count() <= limit
-    return keyed.join(F.broadcast(base) if small else base, ["_lang", "_title"], "left").drop("_lang", "_title")
+    if base.limit(limit + 1).count() <= limit:
+        return keyed.join(F.broadcast(base), ["_lang", "_title"], "left").drop("_lang", "_title")
+    # rows without an address match nothing: kept out of the shuffle, where they would all meet in one partition
+    found = keyed.where("_title is not null").join(base, ["_lang", "_title"], "left").drop("_lang", "_title")
+    return found.unionByName(keyed.where("_title is null").drop("_lang", "_title"), allowMissingColumns=True)
 
 
 def split_cached(requests: DataFrame, cache: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

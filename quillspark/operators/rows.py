@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from quillspark import shipping
+
 
 def flat_map(df: DataFrame, columns: list[Column | str], make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
     """Rows that fn = make() yields for each row's columns; fn is made once a partition.
@@ -17,6 +19,7 @@ def flat_map(df: DataFrame, columns: list[Column | str], make: Callable[[], Call
     Only the named columns leave the JVM, in Arrow batches; there is no shuffle. Output batches are cut at 4,096
     rows, so a row that yields many never fills memory.
     """
+    shipping.ensure(df.sparkSession)
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import native, strip
@@ -370,5 +370,5 @@ SELECT event_id, ts, user_id, event_type FROM (SELECT *, row_number() OVER (PART
 """)
 def first_events(spark: SparkSession, d: str) -> DataFrame:
     """First of each kind a user: the batch form of the stream's de-duplication."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, d, "events").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("event_id", "ts", "user_id", "event_type")
+    e = table(spark, d, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("_at"))
+    return e.groupBy("user_id", "event_type").agg(F.min("_at").alias("_at")).select("_at.event_id", "_at.ts", "user_id", "event_type")

@@ -117,6 +117,7 @@ def test_enrich_and_keys(spark):
     art = spark.createDataFrame([("Ada Lovelace", "de", "x"), ("Ada_Lovelace", "de-AT", "y")], "title string, lang string, extract string")
     got = {r.doc: r.article for r in entities.enrich(e, art).collect()}
     assert got[1] is not None and got[2] is None and got[3] is None and len(got) == 3
+    assert {r.doc: r.article for r in entities.enrich(e, art, limit=0).collect()} == got
     k = spark.createDataFrame([("DOI: 10.1/x ", "fc/People/Lookup", "sk-12345")], "i string, t string, s string").select(native.paper_url("i"), native.tool_id("t"), native.redacted("s"), native.shortened(F.lit("a  b c d e"), 6)).first()
     assert tuple(k) == ("https://doi.org/10.1/x", "fc/people/lookup", "…2345", "a b c…")
 
@@ -207,6 +208,12 @@ def test_workspace(spark):
     assert [r.problem for r in workspace.replacement_check(spark.createDataFrame([("aXbX",), ("a",), ("X",)], "t string"), "t", "X").collect()] == ["ambiguous", "not_found", None]
 
 
+def test_group_limit_comes_before_the_shuffle(spark):
+    e = ent(spark, [(1, i, "x", "T", float(i), 0.0, 1, None) for i in range(20)])
+    plan = entities.top(e, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and entities.top(e, 2).count() == 2
+
+
 def fake(method, url, body):
     if "broken" in json.dumps(body or {}) + url:
         return 429, {"Retry-After": "7"}, "slow"
