@@ -406,15 +406,23 @@ def fit(df: DataFrame, text_col: str, id_col: str, sample: int = SAMPLE) -> Boos
     return train([r[0] for r in rows])
 
 
-def markup_families(df: DataFrame, model: Boosted, id_col: str, text_col: str) -> DataFrame:
-    """One row per text and family of markup it carries."""
+def markup_families(df: DataFrame, model: Boosted, id_col: str, text_col: str, time_col: str | None = None) -> DataFrame:
+    """One row per text and family of markup it carries; with a time column, of each id's last delivery only.
+
+    The texts stay where they are: what is shuffled to find the last delivery are the families.
+    """
     sent = df.sparkSession.sparkContext.broadcast(model)
+    key = df.schema[id_col].dataType.simpleString()
 
     def make() -> Callable[..., list[tuple]]:
         m = sent.value
-        return lambda k, text: [(k, f) for f in families(text, m)]
+        return lambda k, text, at: [(k, at, families(text, m))]
 
-    return flat_map(df, [id_col, text_col], make, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, markup string")
+    at = F.col(time_col).cast("timestamp") if time_col else F.lit(None).cast("timestamp")
+    rows = flat_map(df, [id_col, text_col, at], make, f"`{id_col}` {key}, at timestamp, markup array<string>")
+    if time_col:
+        rows = rows.groupBy(id_col).agg(F.max_by("markup", F.coalesce("at", F.to_timestamp(F.lit("1970-01-01")))).alias("markup"))
+    return rows.select(id_col, F.explode("markup").alias("markup"))
 
 
 def clean_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

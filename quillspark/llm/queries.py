@@ -86,12 +86,12 @@ def _last_rows(df: DataFrame, key: str, time: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    articles = _latest(table(spark, folder, "articles"), "article_no", "retrieved_at")
-    return markup.markup_families(articles, markup.fit(articles, "extract_text", "article_no"), "article_no", "extract_text")
+    articles = table(spark, folder, "articles")
+    return markup.markup_families(articles, markup.fit(articles, "extract_text", "article_no"), "article_no", "extract_text", "retrieved_at")
 
 
 def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
-    articles = _latest(table(spark, folder, "articles"), "article_no", "retrieved_at")
+    articles = _last_rows(table(spark, folder, "articles"), "article_no", "retrieved_at")
     pages = _last_rows(table(spark, folder, "scrape_responses"), "response_id", "ingested_at")
     a = markup.clean_texts(articles, "article_no", "extract_text").select(F.lit("article").alias("kind"), F.col("article_no").alias("id"), "clean_text", "blocks")
     return a.unionAll(markup.clean_texts(pages, "response_id", "markdown").select(F.lit("page").alias("kind"), F.col("response_id").alias("id"), "clean_text", "blocks"))
