@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.sentences import spans
+from quillspark.llm.sample import samplable
 from quillspark.operators.rows import flat_map
 
 SAMPLE = 300  # labelled rows a label
@@ -194,8 +195,8 @@ class Profiles:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Profiles:
     """Profiles from at most `sample` labelled rows a label."""
-    known = df.select(F.xxhash64(id_col).alias("_h"), label_column(F.col(lang_col)).alias("_k"), F.col(text_col).alias("_t"))
-    known = known.where("_k is not null and _t is not null")
+    known = samplable(df, text_col).select(F.xxhash64(id_col).alias("_h"), label_column(F.col(lang_col)).alias("_k"), F.col(text_col).alias("_t"))
+    known = known.where("_k is not null")
     some = known.groupBy("_k").agg(F.count("*").alias("_n"))
     sizes = {r["_k"]: r["_n"] for r in some.collect()}  # one row a label of two letters
     keep = None

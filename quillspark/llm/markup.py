@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.sample import samplable
 from quillspark.operators.rows import flat_map
 
 SAMPLE = 400
@@ -402,7 +403,7 @@ def clean(text: str | None) -> str | None:
 
 
 def fit(df: DataFrame, text_col: str, id_col: str, sample: int = SAMPLE) -> Boosted:
-    rows = df.where(F.length(text_col) > 40).orderBy(F.xxhash64(id_col), id_col).select(text_col).limit(sample).collect()
+    rows = samplable(df, text_col).where(F.length(text_col) > 40).orderBy(F.xxhash64(id_col), id_col).select(text_col).limit(sample).collect()
     return train([r[0] for r in rows])
 
 

@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.sample import samplable
 from quillspark.operators.rows import flat_map
 
 SAMPLE = 2500
@@ -258,7 +259,7 @@ def keyword_words(suspects: list[Segment], often: Counter) -> int:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The prose model, from at most `sample` documents."""
-    rows = df.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(text_col).limit(sample).collect()
+    rows = samplable(df, text_col).orderBy(F.xxhash64(id_col), id_col).select(text_col).limit(sample).collect()
     return Model([r[0] for r in rows])
 
 
