@@ -243,8 +243,8 @@ class Detector:
             k = int(d.argmin())
             if k != main and d[main] - d[k] < MARGIN:
                 k = main
-            rest = np.delete(d, k)
-            conf = float(max(0.0, (rest.min() - d[k]) / max(rest.min(), 1e-6))) if len(rest) else 1.0
+            near = np.partition(d, 1)[1] if len(d) > 1 else 1.0  # next best, if this is the best
+            conf = float(max(0.0, (near - d[k]) / max(near, 1e-6)))
             if k != main and sum(map(len, found)) < LEAST_LETTERS and not any(w[0] >= "฀" for w in found):
                 k = main
             out.append((a, b, self.p.langs[k], conf, p))
