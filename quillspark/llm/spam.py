@@ -37,7 +37,7 @@ BAND = 0.01  # prose share beyond either end of the normal band
 FUNCTION = {
     "D": "the a an this that these those every each der die das den dem des ein eine einen einem einer dieser dieses diese jeder jede jedes el la los las un una unos este esta estos cada le les une ce cette ces chaque l il lo gli i uno questo questa ogni het een deze dit elke o os as um uma este esta",
     "S": "it he she they we you i his her their our its my who what nobody er es sie wir ich man ihr sich niemand que quien nadie lo se su sus il elle ils nous vous on qui personne leur son sa si che ne nessuno hij zij ze wij we er men niemand ele ela eles ninguém isso он она они мы вы это никто кто каждая каждый каждое эта этот эти",
-    "K": "and but or because while if when so than then although yet und aber oder denn weil wenn doch als obwohl y e pero o porque cuando aunque mientras et mais ou car quand tandis parce ma perché quando mentre en maar of want omdat als mas porque quando и но а или что потому если когда",
+    "K": "and but or because while if when so than then although yet und aber oder denn weil wenn doch als obwohl y e pero o porque cuando aunque mientras et mais ou quand tandis parce ma perché quando mentre maar of want omdat als mas porque quando и но а или что потому если когда",
     "V": "is are was were be been has have had do does did will would can not ist sind war waren hat haben hatte wird wurde nicht es son fue era ha han no est sont était a ont n pas è sono era non zijn was heeft is niet é são foi não há",
     "P": "of in on at to for with from by near about after before during von in im am an auf für mit zu zur zum aus bei nach über unter vor ohne de del en con para por sin sobre du des dans pour avec sur sans au aux à di del della al nel con per da van in op met voor bij na do da no na com para por sem в на с со до от по из у за к для о об без после",
 }
@@ -56,7 +56,7 @@ _CODE = re.compile(r"(?=.*\d)(?=.*[^\W\d_])")
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])\s+(?=[^\W\da-z_])|(?<=[。！？।؟])")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SLUG = re.compile("[^\\W\\d_]{3,}")
-_DUTCH = ("het", "een", "van", "voor", "bij", "met", "zonder", "naar")
+_DUTCH = frozenset("het een van voor bij zonder naar deze dit elke enkele tijdens".split())
 _CAMEL = re.compile("[A-ZÀ-Þ]?[a-zß-ÿ]+|[A-ZÀ-Þ]+|[0-9]+")
 
 
@@ -65,12 +65,14 @@ def _parts(kind: str, raw: str) -> list[str]:
 
 
 class Segment:
-    __slots__ = ("classes", "content", "links", "codes", "tags", "marks", "strong", "words", "wide", "ended_ever", "slugs")
+    __slots__ = ("classes", "content", "links", "codes", "tags", "marks", "strong", "words", "wide", "ended_ever", "slugs", "held", "functions")
 
     def __init__(self, text: str, bound: frozenset[str] | set[str] = frozenset()):
         self.classes: list[str] = []
         self.content: list[str] = []
         self.slugs: list[str] = []
+        self.functions: set[str] = set()
+        self.held = 0  # strong function words that are bound to one successor
         self.links = self.codes = self.tags = self.marks = self.strong = self.words = self.wide = 0
         self.ended_ever = False
         for m in _TOKEN.finditer(text):
@@ -100,7 +102,10 @@ class Segment:
                 self.words += 1
                 low = raw.lower()
                 g = _GROUP.get(low) or (_GROUP.get(low.split("'")[0].split("’")[0]) if "'" in low or "’" in low else None)
+                if g:
+                    self.functions.add(low if low in _GROUP else re.split("['’]", low)[0])
                 if low in bound:
+                    self.held += g in _STRONG if g else 0
                     g = None
                 if _WIDE.match(raw) and not g:
                     self.wide += 1
@@ -210,7 +215,7 @@ class Model:
             return 0.0, 0.0, False
         often = keyed(found)
         least = max(4, sum(often.values()) // 20)
-        dutch = sum(often[w] for w in _DUTCH) >= 2
+        dutch = sum(len(_DUTCH & s.functions) + len(_DUTCH.intersection(s.content)) for s in found) >= 2  # "de" is then an article
         odd = 0
         suspects: list[Segment] = []
         for s in found:
@@ -238,7 +243,9 @@ def unwritten(s: Segment, strong: int) -> bool:
     if s.wide:
         return not s.ended_ever and strong == 0
     if s.ended_ever and not s.links:
-        return strong == 0
+        return strong == 0 and not (s.held and (len(s.functions) >= 2 or s.words >= 9))
+    if (strong + s.held) * 20 >= s.words and sum(_GROUP[w] in _STRONG for w in s.functions) >= 2:
+        return False  # a text without stops; keywords hold one strong function word at most
     return strong * 7 < s.words
 
 
