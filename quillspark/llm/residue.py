@@ -154,9 +154,10 @@ def residue(df: DataFrame, id_col: str = "response_id", text_col: str = "markdow
 
     # a few short rows, read by both branches below
     found = checkpointed(flat_map(df, [id_col, text_col, host_col, url_col, title_col], make, f"`{id_col}` {key}, reason string, host bigint, line bigint, n int"))
-    sure = found.where("reason is not null").groupBy(id_col).agg(F.max("reason").alias("reason"))
+    sure = found.where("reason is not null").select(id_col, "reason")
     # low-information bodies without agreement: a line shared by many hosts is a message
     short = found.where("reason is null").distinct()
     common = short.groupBy("line").agg(F.approx_count_distinct("host", 0.02).alias("hosts")).where(F.col("hosts") >= HOSTS).select("line")
     twice = short.join(common, "line", "left_semi").groupBy(id_col).agg(F.countDistinct("line").alias("_m"), F.max("n").alias("_n")).where("_m = _n")
-    return sure.unionAll(twice.join(sure, id_col, "left_anti").select(id_col, F.lit("duplicate").alias("reason")))
+    both = sure.unionAll(twice.select(id_col, F.lit("duplicate").alias("reason")))
+    return both.groupBy(id_col).agg(F.max("reason").alias("reason"))
