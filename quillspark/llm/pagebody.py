@@ -5,8 +5,9 @@ characters, its tags (list markers, headings, links, separators), and its link c
 but a known piece of furniture (menus, consent notices and their buttons, tools, counters, sign-ups, legal and contact lines) is link
 text from end to end, like an anchor. The composite text density is characters per tag, adjusted by the share of link characters;
 a section's density sum is that of its lines. The section with the greatest sum is the page's main subtree, the
-least density on the path from it to the root is the threshold, and lines of zero density, and sections of
-recommendations, fall out wherever they stand.
+least density on the path from it to the root (section and page) is the threshold. Lines of zero density, and sections of
+recommendations, fall out wherever they stand; outside the main subtree so do lines under the threshold, unless they are
+sentences or of a block that is short by nature (_select).
 
 Line rules work on one line at a time, so the cost is linear in the text; there is no shuffle but for the
 redelivered rows (ids and line numbers only).
@@ -88,6 +89,7 @@ _SEPARATOR = re.compile(r"\s+[|·›»/•>–]\s+")
 _TEASER = re.compile(r"(?:…|\.{3}|[.!?])\s*\[[^\[\]]{2,30}\]\([^()\s]*\)\s*$")
 _BYLINE = re.compile(r"(?:(?:powered|made|hosted|built|run|published|written|posted) )?(?:by|von|par|por) [A-Z]\S+(?: [A-Z]\S+){0,3}(?: [\d.]+)?$|[A-ZÉ]\w+ (?:by|mit|with|par|por|von|con|avec) [A-Z]\S+ [A-Z]\S+ [\d.]+$|[A-Z]\w+(?: [a-zäöüé]+)? ?: [A-Z]\S+ [A-Z]\S+ [\d.]+$")
 _SHORT = re.compile(r"[^.!?]{1,32}$")
+_SENTENCE = re.compile(r"[.!?…:;。！？।؟][\"'»”“’)\]*_]*$")
 
 
 class Line:
@@ -224,28 +226,46 @@ def read(markdown: str | None, host: str | None = None) -> list[Line]:
     return _select(lines)
 
 
+def _sentence(s: str) -> bool:
+    """Whether a line ends as a sentence does, links apart."""
+    return _SENTENCE.search(_LINK.sub(r"\1", s)) is not None
+
+
+def _density(chars: int, link: int, tags: int, ratio: float) -> float:
+    """Composite text density of a node: characters a tag, adjusted by the page's share of link characters."""
+    if link >= chars:
+        return 0.0
+    base = math.log(chars / (chars - link) * max(1, link) + ratio * chars + math.e)
+    return chars / tags * math.log(max(1.001, chars / max(1, link) * tags)) / base
+
+
 def _select(lines: list[Line]) -> list[Line]:
-    """Composite densities, the section of the greatest sum, the threshold of its path; sets the kind of the rest."""
+    """Composite densities, the section of the greatest sum, the threshold of its path; sets the kind of the rest.
+
+    The main section stays whole. Elsewhere an unkinded line under the threshold is thin, unless it is a sentence or
+    belongs to a block whose lines are short by nature: code, a table, a heading, numbered items, or items with a heading or a sentence in their section.
+    """
     c = sum(x.chars for x in lines) or 1
     lc = sum(x.link for x in lines)
     ratio = lc / c
-    sums: dict[int, float] = {}
+    sections: dict[int, list[float]] = {}  # sum of densities; characters, link characters, tags of the node
+    told: set[int] = set()
     for x in lines:
-        if x.link >= x.chars:
-            x.density = 0.0
-            continue
-        base = math.log(x.chars / max(1, x.chars - x.link) * max(1, x.link) + ratio * x.chars + math.e)
-        x.density = x.chars / x.tags * math.log(max(1.001, x.chars / max(1, x.link) * x.tags)) / base
-        sums[x.section] = sums.get(x.section, 0.0) + x.density
-    if not sums:
+        x.density = _density(x.chars, x.link, x.tags, ratio)
+        if x.density > 0:
+            node = sections.setdefault(x.section, [0.0, 0, 0, 0])
+            for i, v in enumerate((x.density, x.chars, x.link, x.tags)):
+                node[i] += v
+            if not x.kind and not x.code and (_HEADING.match(x.text) or _sentence(x.text)):
+                told.add(x.section)
+    if not sections:
         return lines
-    best = max(sums, key=lambda k: (sums[k], -k))
-    whole = sum(sums.values()) / max(1, len(lines))
-    own = [x.density for x in lines if x.section == best and x.density > 0]
-    threshold = min(whole, min(own))
+    best = max(sections, key=lambda k: (sections[k][0], -k))
+    threshold = min(_density(*sections[best][1:], ratio), _density(c, lc, sum(x.tags for x in lines), ratio))
     for x in lines:
         if not x.kind:
-            x.kind = "body" if x.density >= threshold or x.density > 0 else "thin"
+            natural = x.code or x.text[0] in "|>" or _HEADING.match(x.text) or (x.section in told or x.text[0].isdigit()) and _MARKER.match(x.text) or _sentence(x.text)
+            x.kind = "body" if x.section == best or x.density >= threshold or natural else "thin"
     return lines
 
 

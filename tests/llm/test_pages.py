@@ -55,6 +55,13 @@ def test_density_prefers_prose():
     assert lines["- The names of the plants"].density < lines["The bakery sells cookies by the pound and asks nobody for consent."].density and lines["16 comments"].density == 0
 
 
+def test_density_decides_unlisted_wordings():
+    prose = "The old mill follows a draft of the report, and the people of the town are glad to see it. " * 4
+    page = f"Zeitraffer\n* Kombüse\n* Plauderecke\n\n# The water level\n\n{prose}\nA short name\n\n## The songs\n\nIt rains.\n- one song\n\nKlabauter Lounge\n\n```\nx = 4\n```"
+    assert {x.text for x in pagebody.read(page) if x.kind == "thin"} == {"Zeitraffer", "* Kombüse", "* Plauderecke", "Klabauter Lounge"}
+    assert {x.text for x in pagebody.read("- The footnotes\n- The names") if x.kind == "body"} == {"- The footnotes", "- The names"}
+
+
 def frame(spark, rows):
     t = dt.datetime(2024, 1, 1)
     full = [(i, h, u, ti, m, t + dt.timedelta(hours=j)) for j, (i, h, u, ti, m) in enumerate(rows)]
