@@ -188,10 +188,35 @@ class Boosted:
         return np.where(low, self._apply(t[2], x), self._apply(t[3], x))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        f = np.full(len(x), self.base)
-        for t in self.trees:
-            f += RATE * self._apply(t, x)
-        return 1 / (1 + np.exp(-f))
+        if getattr(self, "flat", None) is None or len(self.flat[2]) != len(self.trees):
+            self.flat = self._flatten()
+        column, cut, leaf = self.flat
+        each = np.arange(len(leaf))
+        at = np.zeros((len(x), len(leaf)), np.intp)
+        rows = np.arange(len(x))[:, None]
+        for _ in range(DEPTH):
+            at = 2 * at + 1 + (x[rows, column[each, at]] > cut[each, at])
+        return 1 / (1 + np.exp(-(self.base + RATE * leaf[each, at - (2**DEPTH - 1)].sum(1))))
+
+    def _flatten(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The trees filled up to full depth, as arrays: columns and cuts of the inner nodes, values of the leaves."""
+        inner = 2**DEPTH - 1
+        column, cut = np.zeros((len(self.trees), inner), np.intp), np.full((len(self.trees), inner), np.inf)
+        leaf = np.zeros((len(self.trees), inner + 1))
+
+        def put(i: int, t: list | float, at: int) -> None:
+            if at >= inner:
+                leaf[i, at - inner] = t
+                return
+            low, high = t, t
+            if isinstance(t, list):
+                column[i, at], cut[i, at], low, high = t
+            put(i, low, 2 * at + 1)
+            put(i, high, 2 * at + 2)
+
+        for i, t in enumerate(self.trees):
+            put(i, t, 0)
+        return column, cut, leaf
 
 
 # --- training texts -------------------------------------------------------------------------------
@@ -305,6 +330,92 @@ def families(text: str | None, model: Boosted) -> list[str]:
 
 
 # --- clean text with structure --------------------------------------------------------------------
+_HIDE = {ord(c): 0xF700 + ord(c) for c in "<>&`*_~#=[]|{}'\\$^!-+.)\n"}
+_SHOW = {v: k for k, v in _HIDE.items()}
+_WHOLE = {"comment", "tag", "entity", "link", "bullet", "setext", "wlink", "template", "switch", "command"}  # syntax from end to end
+_TABLES = {"row", "wtable", "wrow"}
+_WORDS = re.compile(r"<[A-Za-z]\w*(?:\s+\w+)+\s*>")  # "a <b and c> d": words where attributes would be
+_BARE = frozenset("async autofocus autoplay checked controls default defer disabled hidden inert ismap itemscope loop multiple muted nomodule noshade novalidate nowrap open readonly required reversed selected".split())
+_CODE_TAG = re.compile(r"</?code\b", re.I)
+_VERBATIM = re.compile(r"<(pre|code|script|style)\b", re.I)
+
+
+def _hidden(s: str) -> str:
+    """The same text with its signs out of reach of the conversions below."""
+    return s.translate(_HIDE)
+
+
+def _sure(kind: str, s: str) -> bool:
+    """Forms read as markup whatever the trees say: items (they keep their dash), links with a target, table rows."""
+    return kind == "bullet" or kind == "link" and "](" in s or kind == "row" and s.strip()[0] == "|"
+
+
+def _lines(s: str) -> str:
+    return "\n".join(map(_hidden, s.split("\n")))
+
+
+def literal(text: str, model: Boosted) -> str:
+    """The text with every sign hidden that is no markup: of nodes that weren't kept, and within code and formulas.
+
+    What is left to blocks() to remove or convert is what the decoding keeps.
+    """
+    nodes = decode(text, model)
+    if not nodes:
+        return text
+    out = list(text)
+    shut = bytearray(len(text))  # signs that kept markup needs
+    code: list[Node] = []
+    verbatim: list[tuple[int, int]] = []  # elements whose entities are still read
+    for n in nodes:
+        s = text[n.a:n.b]
+        n.keep = (n.keep or _sure(n.kind, s)) and not (n.kind == "tag" and _WORDS.fullmatch(s) and not _BARE.intersection(s.lower().strip("</>").split()))
+        up = n.parent
+        while up is not None and up not in code:
+            up = up.parent
+        if up is not None:
+            n.keep = False
+        elif n.kind == "code" and not text[n.a - 1:n.a].isalnum() and not text[n.b:n.b + 1].isalnum() and s[1:-1] == s[1:-1].strip():
+            code.append(n)  # inline code stays whole, whether its ticks are removed or not
+        elif n.keep and n.kind in ("code", "fence", "math"):
+            code.append(n)
+        if not n.keep or n.kind in ("code", "fence", "math"):
+            continue
+        if n.kind == "tag" and (m := _VERBATIM.match(s)):
+            end = re.compile(rf"</{m.group(1)}\s*>", re.I).search(text, n.b)
+            verbatim.append((n.b, end.start() if end else n.b))
+        if n.kind in _WHOLE:
+            shut[n.a:n.b] = b"\1" * len(s)
+        elif n.kind in _TABLES:
+            for m in re.finditer(r"[|!{}+-]", s):
+                shut[n.a + m.start()] = 1
+        else:
+            head, tail = len(re.match(r"[\W_]*", s).group()), len(s) - len(re.sub(r"[\W_]*\Z", "", s))
+            shut[n.a:n.a + head] = b"\1" * head
+            shut[n.b - tail:n.b] = b"\1" * tail
+    for n in nodes:
+        if not n.keep and n not in code and not (any(a <= n.a < b for a, b in verbatim) and (n.kind == "entity" or _CODE_TAG.match(text, n.a))):
+            for i in range(n.a, n.b):
+                if not shut[i] and text[i] != "\n":
+                    out[i] = _hidden(text[i])
+    for n in code:
+        s = text[n.a:n.b]
+        if n.kind == "fence" and "\n" in s and not text[text.rfind("\n", 0, n.a) + 1:n.a].strip():
+            head, tail, drop, newline = s.index("\n") + 1, len(s) - s.rindex("\n"), False, False  # blocks() reads the fence lines
+        elif n.kind == "math" and s[:2] in ("$$", "\\["):
+            head, tail, drop, newline = 2, 2, False, True  # a block of its own
+        elif n.kind == "math" or not n.keep:
+            head, tail, drop, newline = 0, 0, False, n.kind == "math"
+        else:
+            head = tail = 1 if n.kind == "code" else 3
+            drop, newline = True, False
+        for i in range(n.a, n.b):
+            if n.a + head <= i < n.b - tail:
+                out[i] = text[i] if text[i] == "\n" and not newline else _hidden(text[i])
+            else:
+                out[i] = "" if drop else text[i]
+    return "".join(out)
+
+
 _HEADING = re.compile(r"(?m)^[ \t]*#{1,6}[ \t]+(.*?)[ \t]*#*$|^={2,6}[ \t]*(.*?)[ \t]*={2,6}[ \t]*$|<h[1-6][^>]*>(.*?)</h[1-6]>|\\(?:sub)*section\*?\{([^{}]*)\}", re.S | re.I)
 
 
@@ -323,11 +434,16 @@ def _inline(s: str) -> str:
     return html.unescape(s).replace("\xa0", " ")
 
 
-def blocks(text: str | None) -> list[tuple[str, int, str]]:
-    """(kind, level, clean text) of each block: heading, item, code, formula, table, quote or text."""
+def blocks(text: str | None, model: Boosted | None = None) -> list[tuple[str, int, str]]:
+    """(kind, level, clean text) of each block: heading, item, code, formula, table, quote or text.
+
+    With a model only the markup that it keeps is read as such; without one every sign is.
+    """
     text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
-    text = re.sub(r"<pre[^>]*>(?:<code[^>]*>)?(.*?)(?:</code>)?</pre>", lambda m: f"\n```\n{html.unescape(m.group(1))}\n```\n", text, flags=re.S | re.I)
-    text = re.sub(r"\\begin\{(?:verbatim|lstlisting)\}(.*?)\\end\{(?:verbatim|lstlisting)\}", r"\n```\n\1\n```\n", text, flags=re.S)
+    if model is not None:
+        text = literal(text, model)
+    text = re.sub(r"<pre[^>]*>(?:<code[^>]*>)?(.*?)(?:</code>)?</pre>", lambda m: f"\n```\n{_lines(html.unescape(m.group(1)))}\n```\n", text, flags=re.S | re.I)
+    text = re.sub(r"\\begin\{(?:verbatim|lstlisting)\}(.*?)\\end\{(?:verbatim|lstlisting)\}", lambda m: f"\n```\n{_lines(m.group(1))}\n```\n", text, flags=re.S)
     text = re.sub(r"\\\[(.{1,400}?)\\\]|\$\$([^$]{1,300})\$\$", lambda m: f"\n\x02{(m.group(1) or m.group(2)).strip()}\n", text, flags=re.S)
     text = re.sub(r"<h([1-6])[^>]*>(.*?)</h[1-6]>", lambda m: "\n" + "#" * int(m.group(1)) + " " + re.sub(r"\s+", " ", m.group(2)) + "\n", text, flags=re.S | re.I)
     text = re.sub(r"\\((?:sub)*)section\*?\{([^{}]*)\}", lambda m: "\n" + "#" * (2 + len(m.group(1)) // 3) + f" {m.group(2)}\n", text)
@@ -386,16 +502,20 @@ def blocks(text: str | None) -> list[tuple[str, int, str]]:
             run.append(s)
         i += 1
     flush()
-    return [b for b in out if b[2] or b[0] == "code"]
+    return [(a, n, b.translate(_SHOW)) for a, n, b in out if b or a == "code"]
 
 
-def clean(text: str | None) -> str | None:
+def clean(text: str | None, model: Boosted | None = None) -> str | None:
     """Plain text: headings and paragraphs apart, items with a dash, code and formulas as they stand."""
     if text is None:
         return None
+    return _joined(blocks(text, model))
+
+
+def _joined(found: list[tuple[str, int, str]]) -> str:
     out: list[str] = []
     last = ""
-    for kind, level, s in blocks(text):
+    for kind, level, s in found:
         out.append(("\n" if kind == last in ("item", "table") else "\n\n") if out else "")
         out.append("  " * level + "- " + s if kind == "item" else s)
         last = kind
@@ -426,10 +546,17 @@ def markup_families(df: DataFrame, model: Boosted, id_col: str, text_col: str, t
     return rows.select(id_col, F.explode("markup").alias("markup"))
 
 
-def clean_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """clean_text and its blocks, one row per input row."""
+def clean_texts(df: DataFrame, id_col: str, text_col: str, model: Boosted | None = None) -> DataFrame:
+    """clean_text and its blocks, one row per input row; the model is fitted on the texts themselves if none is given."""
+    sent = df.sparkSession.sparkContext.broadcast(model or fit(df, text_col, id_col))
 
     def make() -> Callable[..., list[tuple]]:
-        return lambda k, text: [(k, clean(text), [{"kind": a, "level": b, "text": c} for a, b, c in blocks(text)])]
+        m = sent.value
+
+        def rows(k, text):  # noqa: ANN001, ANN202
+            found = blocks(text, m)
+            return [(k, None if text is None else _joined(found), [{"kind": a, "level": b, "text": c} for a, b, c in found])]
+
+        return rows
 
     return flat_map(df, [id_col, text_col], make, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, clean_text string, blocks array<struct<kind:string,level:int,text:string>>")

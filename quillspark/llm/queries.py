@@ -93,8 +93,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     articles = _last_rows(table(spark, folder, "articles"), "article_no", "retrieved_at")
     pages = _last_rows(table(spark, folder, "scrape_responses"), "response_id", "ingested_at")
-    a = markup.clean_texts(articles, "article_no", "extract_text").select(F.lit("article").alias("kind"), F.col("article_no").alias("id"), "clean_text", "blocks")
-    return a.unionAll(markup.clean_texts(pages, "response_id", "markdown").select(F.lit("page").alias("kind"), F.col("response_id").alias("id"), "clean_text", "blocks"))
+    a = markup.clean_texts(articles, "article_no", "extract_text", markup.fit(table(spark, folder, "articles"), "extract_text", "article_no")).select(F.lit("article").alias("kind"), F.col("article_no").alias("id"), "clean_text", "blocks")
+    return a.unionAll(markup.clean_texts(pages, "response_id", "markdown", markup.fit(table(spark, folder, "scrape_responses"), "markdown", "response_id")).select(F.lit("page").alias("kind"), F.col("response_id").alias("id"), "clean_text", "blocks"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -57,3 +57,21 @@ def test_clean(spark):
     m = markup.fit(df, "extract_text", "article_no")
     assert {r.markup for r in markup.markup_families(df, m, "article_no", "extract_text").where("article_no = 4").collect()} == {"html"}
     assert markup.markup_families(df.limit(0), m, "article_no", "extract_text").count() == 0
+
+
+@pytest.mark.parametrize("text,want", [
+    ("It holds for a < b and c > d alike.", None), ("It holds for a <b and c> d alike.", None), ("Seats cost $5 in spring and $12 in autumn.", None), ("Ratings of 4* and 5* are rare.", None),
+    ("The file report_final_v2 is kept in C:\\notes\\new.", None), ("The R&D office sits on floor #7.", None), ("The code x == y was printed on the ticket.", None), ("The set {a, b} has two elements [sic].", None),
+    ("Our template fills `{{title}}` with the heading.", "Our template fills {{title}} with the heading."), ("Use `<br>` or `__ABC__` and `&lt;` there.", "Use <br> or __ABC__ and &lt; there."),
+    ("```\n<li>{{x}}</li>\n```", "<li>{{x}}</li>"), ("<p>See <code>a &lt; b</code>.</p>", "See a < b ."), ("See [it](/1) and **bold** text.", "See it and bold text."), ("- one\n- two", "- one\n- two"), ("", ""), (None, None),
+])
+def test_clean_removes_only_what_the_trees_keep(model, text, want):
+    assert markup.clean(text, model) == (text if want is None else want)
+
+
+def test_flat_trees_agree(model):
+    x = markup.features(t := "<p>a **b** [c](/d) $x_1$ `e`</p> 4* & {x}", markup.tree(t))
+    f = np.full(len(x), model.base)
+    for t in model.trees:
+        f += markup.RATE * model._apply(t, x)
+    assert np.allclose(model.predict(x), 1 / (1 + np.exp(-f)))
