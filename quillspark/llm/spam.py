@@ -31,6 +31,7 @@ SAMPLE = 2500
 LEAST_WORDS = 8
 SHARE = 0.5
 AGAIN = 0.45  # a keyword before ever new names repeats every second word
+STANDS_OUT = 0.2  # share of the commonest keyword in segments of a script whose function words aren't all listed; 5 times at least
 BAND = 0.01  # prose share beyond either end of the normal band
 
 #: Function words that make sentences: D articles and demonstratives, S pronouns, K conjunctions, V auxiliaries.
@@ -186,7 +187,7 @@ def sequence(s: Segment, often: Counter, least: int) -> list[str]:
         if c in "CWPV#":
             word = s.content[at]
             at += 1
-            out.append("R" if c == "C" and often[word] >= least else c)
+            out.append("R" if c in "CW" and often[word] >= least else c)
         else:
             if c == "H":
                 return s.classes
@@ -221,10 +222,11 @@ class Model:
         for s in found:
             strong = s.strong + (s.content.count("de") if dutch else 0)
             x = self.trigram.perplexity(sequence(s, often, least))
-            if self.low <= x <= self.high and s.classes[-1] == "E" and strong:
+            inside = self.low <= x <= self.high
+            if inside and s.classes[-1] == "E" and (strong or s.wide):
                 continue
             odd += s.words
-            if unwritten(s, strong):
+            if unwritten(s, strong) or not inside and s.wide and s.ended_ever and not s.links:
                 suspects.append(s)
         bad = keyword_words(suspects, often)
         return odd / total, bad / total, odd > SHARE * total and bad > SHARE * total
@@ -257,6 +259,10 @@ def keyword_words(suspects: list[Segment], often: Counter) -> int:
     bare = [s for s in suspects if s.links or s.tags]
     rest = [s for s in suspects if not (s.links or s.tags)]
     count = sum(s.words for s in bare)
+    if any(s.wide for s in rest):  # no list of function words is whole there: one keyword must stand out
+        named = Counter(w for s in rest for w in s.content)
+        if max(named.values()) < max(5, STANDS_OUT * sum(named.values())):
+            rest = [s for s in rest if not (s.wide and s.ended_ever)]
     real = [w for s in rest for w in s.content if len(w) > 2 or w in _GROUP]
     again = sum(often[w] >= 2 for w in real)
     if real and again >= AGAIN * len(real) and max((often[w] for w in real), default=0) >= 3:

@@ -22,6 +22,16 @@ def test_pages():
     assert not flag(None) and not flag("") and not flag("shoes shoes")
 
 
+def test_wide_scripts_and_the_band():
+    prose = ["Редакция сравнивает несколько старых версий после долгого разговора. Мастерская собирает уровень воды у моста. Архив проверяет часы работы с самого начала. Справочник заменяет рецепт хлеба и таблицу результатов."] * 5
+    m = spam.Model([PROSE, PROSE + "\n\n" + PROSE, *prose] * 5)
+    keys = "Обувь дешево, обувь цена, обувь купить, обувь скидка. " * 5
+    assert m.is_spam(keys) and m.is_spam("Купить обувь цена обувь. Обувь цена обувь купить обувь. " * 4) and m.is_spam("靴安い靴。靴通販靴。" * 8)
+    assert not m.is_spam(prose[0])
+    m.low, m.high = 0.0, float("inf")  # only the perplexity separates these
+    assert not m.is_spam(keys)
+
+
 def test_trigram_sums_to_one():
     t = model().trigram
     import math
