@@ -3,8 +3,8 @@
 Each page is reduced to its main body, and the terms of its address slug, its title and its body are compared.
 Placeholder detectors look at title and running text (quoted text and code aside). Of the other pages, those are
 low in information whose body lines all are messages, prompts or words without grammar; a line counts as a
-message by its wording, or because it stands in many low-information bodies of different hosts and addresses
-with whose terms it shares nothing. Only ids, hashes and flags of short bodies are shuffled, counted per line
+message by its wording, or because it stands in many low-information bodies of different hosts, or in the same
+body at many addresses (slug and title) of one host, with whose terms it shares nothing. Only ids, hashes and flags of short bodies are shuffled, counted per line
 key before (partial counts on the map side), so a host with a third of all rows is no hot key.
 
 Cases: null and blank markdown is never flagged; a redelivered response counts once; equal bodies get equal answers but
@@ -28,6 +28,7 @@ from quillspark.operators.rows import flat_map
 
 SHORT = 60  # words of a body that may be low in information by its lines alone
 HOSTS = 8  # hosts whose low-information bodies must share a line for it to count as a message
+ADDRESSES = 8  # addresses of one host that must answer with the same low-information body
 
 _NAME = r"(?:[A-Za-z][a-z]*(?:[_.][A-Za-z]+)+|[a-z]{3,20}|[A-Z]{3,20}|[A-Z]+(?:_[A-Z]+)+)"
 _PLACEHOLDER = re.compile(
@@ -104,6 +105,10 @@ def ungrammatical(words: list[str]) -> bool:
     return sum(w in _FUNCTION for w in low) * 12 < n and (n >= 6 or len(set(low)) * 2 <= n) or len(set(low)) * 4 <= n
 
 
+def _hash(s: str) -> int:
+    return xxhash.xxh64_intdigest(s) - 2**63
+
+
 class Page:
     """What one response shows."""
 
@@ -142,22 +147,26 @@ def residue(df: DataFrame, id_col: str = "response_id", text_col: str = "markdow
             if not p.lines:
                 return []
             if not p.filled:
-                return [(k, "placeholder", None, None, None)]
+                return [(k, "placeholder", *[None] * 5)]
             if p.message:
-                return [(k, "message", None, None, None)]
+                return [(k, "message", *[None] * 5)]
             if not p.short or p.agrees:
                 return []
-            keys = [xxhash.xxh64_intdigest(re.sub(r"/\S+|\d+", "0", _fold(t))) - 2**63 for t in p.lines]
-            return [(k, None, xxhash.xxh64_intdigest(host or "") - 2**63, x, len(set(keys))) for x in set(keys)]
+            keys = {_hash(re.sub(r"/\S+|\d+", "0", _fold(t))) for t in p.lines}
+            body, address = _hash(str(sorted(keys))), _hash(f"{slug(url)}\n{title or ''}".lower())
+            return [(k, None, _hash(host or ""), x, len(keys), body, address) for x in keys]
 
         return rows
 
     # a few short rows, read by both branches below
-    found = checkpointed(flat_map(df, [id_col, text_col, host_col, url_col, title_col], make, f"`{id_col}` {key}, reason string, host bigint, line bigint, n int"))
+    found = checkpointed(flat_map(df, [id_col, text_col, host_col, url_col, title_col], make, f"`{id_col}` {key}, reason string, host bigint, line bigint, n int, body bigint, address bigint"))
     sure = found.where("reason is not null").select(id_col, "reason")
     # low-information bodies without agreement: a line shared by many hosts is a message
     short = found.where("reason is null").distinct()
-    common = short.groupBy("line").agg(F.approx_count_distinct("host", 0.02).alias("hosts")).where(F.col("hosts") >= HOSTS).select("line")
+    common = short.groupBy("line", "host").count().groupBy("line").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= HOSTS).select("line")
     twice = short.join(common, "line", "left_semi").groupBy(id_col).agg(F.countDistinct("line").alias("_m"), F.max("n").alias("_n")).where("_m = _n")
+    # the same body at many addresses of one host; equal addresses are merged first, so a hot host sends few rows
+    answers = short.groupBy("body", "host", "address").count().groupBy("body", "host").agg(F.count("*").alias("addresses")).where(F.col("addresses") >= ADDRESSES).select("body", "host")
+    twice = twice.select(id_col).unionAll(short.join(answers, ["body", "host"], "left_semi").select(id_col))
     both = sure.unionAll(twice.select(id_col, F.lit("duplicate").alias("reason")))
     return both.groupBy(id_col).agg(F.max("reason").alias("reason"))

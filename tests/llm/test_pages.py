@@ -98,3 +98,11 @@ def test_residue_frame(spark):
     got = {r.response_id: r.reason for r in residue.residue(frame(spark, rows)).collect()}
     assert got[100] == "message" and all(got[i] == "duplicate" for i in range(12)) and set(got) == {*range(12), 100}
     assert residue.residue(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_one_host_with_many_addresses(spark):
+    names = ["mill", "ferry", "bakery", "museum", "garden", "canal", "harvest", "lamp", "tower"]
+    rows = [(i, "one", f"https://one/a/{n}-{i}", None, "Nothing to see at this address today.") for i, n in enumerate(names)]
+    rows += [(20 + i, "two", "https://two/a/the-mill-1", None, "A note that stands once, at one place only.") for i in range(12)]
+    rows += [(40 + i, f"host{i}", f"https://host{i}/a/{n}-{i}", None, "Seven hosts keep this remark with them.") for i, n in enumerate(names[:7])]
+    assert {(r.response_id, r.reason) for r in residue.residue(frame(spark, rows)).collect()} == {(i, "duplicate") for i in range(9)}
