@@ -4,14 +4,15 @@ Each document becomes a sequence of word classes: articles, pronouns, conjunctio
 of its languages stand for themselves as groups, other words fall into classes by shape (content, name, number,
 code, tag, link) and by whether they repeat a word of the document's keywords. An interpolated trigram model
 fitted on prose gives every segment (line or sentence) a perplexity; segments outside the band that prose shows
-are abnormal. A document is flagged when an exact count then finds most of its words in abnormal segments made
-of repeated keywords, search phrases, bare links or product tags.
+are abnormal, and only documents with most of their words in abnormal segments can be flagged. An exact check follows:
+of the abnormal segments those count that hold repeated keywords, search phrases, bare links or product tags and no
+grammar of a sentence.
 
-The model is fitted on a bounded sample of documents (SAMPLE rows with the least hashed ids, prose paragraphs
+The model is fitted on a bounded sample of documents (SAMPLE rows with the least hashed ids, prose segments
 only); scoring is one narrow pass over all documents.
 
-Cases: null, blank and short texts (under LEAST_WORDS words) are never flagged; equal texts get equal answers; texts of any length
-are read whole.
+Cases: null and blank texts, and texts of under LEAST_WORDS words (two search phrases are no run), are never flagged; equal texts get
+equal answers; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillspark.llm.sample import samplable
+from quillspark.llm import sample as samples
 from quillspark.operators.rows import flat_map
 
 SAMPLE = 2500
@@ -209,28 +209,20 @@ class Model:
         self.low, self.high = (scores[int(n * BAND)], scores[min(n - 1, int(n * (1 - BAND)))]) if n else (0.0, math.inf)
 
     def judge(self, text: str | None) -> tuple[float, float, bool]:
-        """(share of words in abnormal segments, share in keyword segments, spam)."""
+        """(share of words in segments of abnormal perplexity, share in keyword segments, spam)."""
         found = [s for s in segments(text) if s.words]
         total = sum(s.words for s in found)
         if total < LEAST_WORDS:
             return 0.0, 0.0, False
         often = keyed(found)
         least = max(4, sum(often.values()) // 20)
+        odd = [s for s in found if not self.low <= self.trigram.perplexity(sequence(s, often, least)) <= self.high]
+        share = sum(s.words for s in odd) / total
+        if share <= SHARE:
+            return share, 0.0, False
         dutch = sum(len(_DUTCH & s.functions) + len(_DUTCH.intersection(s.content)) for s in found) >= 2  # "de" is then an article
-        odd = 0
-        suspects: list[Segment] = []
-        for s in found:
-            strong = s.strong + (s.content.count("de") if dutch else 0)
-            x = self.trigram.perplexity(sequence(s, often, least))
-            inside = self.low <= x <= self.high
-            if inside and s.classes[-1] == "E" and (strong or s.wide):
-                continue
-            odd += s.words
-            if unwritten(s, strong) or not inside and s.wide and s.ended_ever and not s.links:
-                suspects.append(s)
-        bad = keyword_words(suspects, often)
-        return odd / total, bad / total, odd > SHARE * total and bad > SHARE * total
-
+        bad = keyword_words([s for s in odd if unwritten(s, s.strong + (s.content.count("de") if dutch else 0))], often) / total
+        return share, bad, bad > SHARE
 
     def is_spam(self, text: str | None) -> bool:
         return self.judge(text)[2]
@@ -243,7 +235,7 @@ def unwritten(s: Segment, strong: int) -> bool:
     if s.classes[-2:] == ["E", "N"]:
         return False  # a line of contents: leaders and a page
     if s.wide:
-        return not s.ended_ever and strong == 0
+        return strong == 0 or s.ended_ever and not s.links
     if s.ended_ever and not s.links:
         return strong == 0 and not (s.held and (len(s.functions) >= 2 or s.words >= 9))
     if (strong + s.held) * 20 >= s.words and sum(_GROUP[w] in _STRONG for w in s.functions) >= 2:
@@ -272,8 +264,7 @@ def keyword_words(suspects: list[Segment], often: Counter) -> int:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The prose model, from at most `sample` documents."""
-    rows = samplable(df, text_col).orderBy(F.xxhash64(id_col), id_col).select(text_col).limit(sample).collect()
-    return Model([r[0] for r in rows])
+    return Model(samples.texts(df, id_col, text_col, sample))
 
 
 def score_pages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,6 +32,14 @@ def test_wide_scripts_and_the_band():
     assert not m.is_spam(keys)
 
 
+def test_only_abnormal_perplexity_makes_candidates():
+    m = model()
+    pages = [KEYS, "A sentence stands here.\n\n" + KEYS, " ".join(["#ShoesSale #BestShoes #ShoesOnline"] * 4), "\n".join(f"[cheap shoes](https://a.example/shoes-{i})" for i in range(8))]
+    assert all(map(m.is_spam, pages))
+    m.low, m.high = 0.0, float("inf")
+    assert not any(map(m.is_spam, pages))  # without the band nothing is flagged
+
+
 def test_trigram_sums_to_one():
     t = model().trigram
     import math
