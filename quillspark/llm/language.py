@@ -20,8 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import sample as samples
 from quillspark.llm.sentences import spans
-from quillspark.llm.sample import samplable
 from quillspark.operators.rows import flat_map
 
 SAMPLE = 300  # labelled rows a label
@@ -195,23 +195,8 @@ class Profiles:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Profiles:
     """Profiles from at most `sample` labelled rows a label."""
-    known = samplable(df, text_col).select(F.xxhash64(id_col).alias("_h"), label_column(F.col(lang_col)).alias("_k"), F.col(text_col).alias("_t"))
-    known = known.where("_k is not null")
-    some = known.groupBy("_k").agg(F.count("*").alias("_n"))
-    sizes = {r["_k"]: r["_n"] for r in some.collect()}  # one row a label of two letters
-    keep = None
-    for k, n in sizes.items():
-        # a hash threshold takes about `sample` rows of each label without sorting
-        share = min(1.0, 1.3 * sample / n)
-        test = (F.col("_k") == k) & (F.col("_h") <= int(-(2**63) + min(share * 2**64, 2**64 - 1)))
-        keep = test if keep is None else keep | test
-    if keep is None:
-        return Profiles({})
-    got: dict[str, list[str]] = defaultdict(list)
-    for r in known.where(keep).orderBy("_h").collect():
-        if len(got[r["_k"]]) < sample:
-            got[r["_k"]].append(r["_t"])
-    return Profiles.fit([(k, t) for k in sorted(got) for t in got[k]], sizes)
+    got, sizes = samples.labelled(df, label_column(F.col(lang_col)), id_col, text_col, sample)
+    return Profiles.fit([(k, t) for k in sorted(got) for t in got[k]], sizes) if got else Profiles({})
 
 
 def _prose(words: list[str], unit: str) -> bool:

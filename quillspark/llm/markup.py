@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.sample import samplable
+from quillspark.llm import sample as samples
 from quillspark.operators.rows import flat_map
 
 SAMPLE = 400
@@ -523,8 +523,7 @@ def _joined(found: list[tuple[str, int, str]]) -> str:
 
 
 def fit(df: DataFrame, text_col: str, id_col: str, sample: int = SAMPLE) -> Boosted:
-    rows = samplable(df, text_col).where(F.length(text_col) > 40).orderBy(F.xxhash64(id_col), id_col).select(text_col).limit(sample).collect()
-    return train([r[0] for r in rows])
+    return train(samples.texts(df.where(F.length(text_col) > 40), id_col, text_col, sample))
 
 
 def markup_families(df: DataFrame, model: Boosted, id_col: str, text_col: str, time_col: str | None = None) -> DataFrame:

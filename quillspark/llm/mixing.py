@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.sample import samplable
+from quillspark.llm import sample as samples
 from quillspark.operators.durable import checkpointed
 from quillspark.operators.rows import flat_map
 
@@ -97,19 +97,8 @@ class Bayes:
 
 
 def fit(df: DataFrame, names: list[str], id_col: str, text_col: str, source_col: str, sample: int = SAMPLE) -> Bayes:
-    label = F.when(F.col(source_col).isin(*names), F.col(source_col)).otherwise(F.lit(""))
-    known = samplable(df, text_col).where(F.col(source_col).isNotNull()).select(label.alias("_k"), F.xxhash64(id_col).alias("_h"), F.col(text_col).alias("_t"))
-    sizes = {r[0]: r[1] for r in known.groupBy("_k").count().collect()}  # one row a listed source
-    test = None
-    for k, n in sorted(sizes.items()):
-        share = min(1.0, 1.3 * sample / n)
-        one = (F.col("_k") == k) & (F.col("_h") <= int(-(2**63) + min(share * 2**64, 2**64 - 1)))
-        test = one if test is None else test | one
-    got: dict[str, list[str]] = defaultdict(list)
-    if test is not None:
-        for r in known.where(test).orderBy("_h").select("_k", "_t").collect():
-            if len(got[r[0]]) < sample:
-                got[r[0]].append(r[1])
+    label = F.when(F.col(source_col).isin(*names), F.col(source_col)).when(F.col(source_col).isNotNull(), F.lit(""))
+    got, _ = samples.labelled(df, label, id_col, text_col, sample)
     return Bayes(names, [(k or None, t) for k in sorted(got) for t in got[k]])
 
 
