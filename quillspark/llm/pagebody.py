@@ -1,19 +1,20 @@
 """Main body of a page by composite text density.
 
-The Markdown of a page is read as a tree: page, sections (opened by headings), blocks, lines. Each node gets its
-characters, its tags (list markers, headings, links, separators), and its link characters; a line that is nothing
-but a known piece of furniture (menus, consent notices and their buttons, tools, counters, sign-ups, legal and contact lines) is link
-text from end to end, like an anchor. The composite text density is characters per tag, adjusted by the share of link characters;
-a section's density sum is that of its lines. The section with the greatest sum is the page's main subtree, the
-least density on the path from it to the root (section and page) is the threshold. Lines of zero density, and sections of
-recommendations, fall out wherever they stand; outside the main subtree so do lines under the threshold, unless they are
-sentences or of a block that is short by nature (_select).
+The Markdown of a page is read as a tree: page, sections (opened by headings), lines. Each node gets its characters, its
+tags (list markers, headings, links, separators) and its link characters: those of links, and those of lines or sentences whose
+wording is that of an anchor or a notice of the site (menus, consent notices and their buttons, tools, counters, sign-ups,
+legal and contact lines), as sites write them as links as often as not. The composite text density is characters per
+tag, adjusted by the share of link characters; a section's density sum is that of its lines. The section with the greatest sum
+is the page's main subtree, the least density on the path from it to the root (section and page) is the threshold. Reading
+only measures; what is body is decided by the densities alone (_select): a line of zero density falls out wherever it stands,
+a line of the main subtree is body, and outside of it a line under the threshold falls out unless it is a sentence or of a
+block that is short by nature.
 
 Line rules work on one line at a time, so the cost is linear in the text; there is no shuffle but for the
 redelivered rows (ids and line numbers only).
 
-Cases: null and blank markdown has no lines; CRLF is allowed; a page without any dense line keeps its lines that are no
-furniture; repeated rows count once; very long lines are read whole.
+Cases: null and blank markdown has no lines; CRLF is allowed; a page without any dense line has no body line; repeated
+rows count once; lines of any length are read whole, sentence by sentence.
 """
 
 from __future__ import annotations
@@ -88,16 +89,17 @@ _HEADING = re.compile(r"#{1,6}\s+|\*\*(?=[^*]+\*\*$)")
 _SEPARATOR = re.compile(r"\s+[|·›»/•>–]\s+")
 _TEASER = re.compile(r"(?:…|\.{3}|[.!?])\s*\[[^\[\]]{2,30}\]\([^()\s]*\)\s*$")
 _BYLINE = re.compile(r"(?:(?:powered|made|hosted|built|run|published|written|posted) )?(?:by|von|par|por) [A-Z]\S+(?: [A-Z]\S+){0,3}(?: [\d.]+)?$|[A-ZÉ]\w+ (?:by|mit|with|par|por|von|con|avec) [A-Z]\S+ [A-Z]\S+ [\d.]+$|[A-Z]\w+(?: [a-zäöüé]+)? ?: [A-Z]\S+ [A-Z]\S+ [\d.]+$")
-_SHORT = re.compile(r"[^.!?]{1,32}$")
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+(?=[^\W\d])")
 _SENTENCE = re.compile(r"[.!?…:;。！？।؟][\"'»”“’)\]*_]*$")
 
 
 class Line:
-    __slots__ = ("no", "text", "chars", "link", "tags", "kind", "density", "section", "code")
+    __slots__ = ("no", "text", "chars", "link", "tags", "cue", "kind", "density", "section", "code")
 
     def __init__(self, no: int, text: str):
         self.no, self.text = no, text
         self.chars, self.link, self.tags = len(text), 0, 1
+        self.cue = ""  # why all of it is link text
         self.kind = ""
         self.density = 0.0
         self.section = 0
@@ -123,8 +125,6 @@ def _furniture(s: str, names: frozenset[str]) -> bool:
     if low in _MENU or low in names:
         return True
     n = len(s)
-    if n > 170:
-        return False
     if _FURNITURE.fullmatch(s):
         return True
     if n < 70 and _BYLINE.match(s):
@@ -141,8 +141,16 @@ def _furniture(s: str, names: frozenset[str]) -> bool:
     return False
 
 
+def _linked(s: str, names: frozenset[str]) -> bool:
+    """Whether a line without its marker, or each of its sentences, is worded like an anchor or a notice of the site."""
+    parts = _SENTENCES.split(s)
+    if not _furniture(parts[0], names):
+        return False
+    return len(parts) == 1 or _furniture(s, names) or all(_furniture(x, names) for x in parts[1:])
+
+
 def read(markdown: str | None, host: str | None = None) -> list[Line]:
-    """The page's non-blank lines with kind set to body or a kind of furniture."""
+    """The page's non-blank lines, kind set to body, thin or what made their density zero."""
     if not markdown:
         return []
     names = site_names(host)
@@ -166,7 +174,7 @@ def read(markdown: str | None, host: str | None = None) -> list[Line]:
             continue
         if s.startswith("```"):  # a fence without its partner closes the code above it
             for above in reversed(lines[:-1]):
-                if above.kind or above.text[0] in "#|>" or above.text[-1] in ".!?" and above.text.count(" ") >= 4:
+                if above.cue or above.text[0] in "#|>" or above.text[-1] in ".!?" and above.text.count(" ") >= 4:
                     break
                 above.code = True
             line.code = True
@@ -187,9 +195,9 @@ def read(markdown: str | None, host: str | None = None) -> list[Line]:
             related = bool(RELATED.fullmatch(title))
             line.section = section
             if related:
-                line.kind, line.link = "related", line.chars
+                line.cue, line.link = "related", line.chars
             elif s[0] == "*" and _furniture(title, names):
-                line.kind, line.link = "tool", line.chars
+                line.cue, line.link = "tool", line.chars
             continue
         line.tags += bool(mark)
         if "](" in rest:
@@ -198,22 +206,22 @@ def read(markdown: str | None, host: str | None = None) -> list[Line]:
             line.tags += len(links)
             line.link = len(rest) - len(left)
             if not left.strip(" |·›»,;:/•-–.…*"):
-                line.kind, line.link = "link", line.chars
+                line.cue, line.link = "link", line.chars
                 if related and not rest.startswith("["):
                     related = False
                 continue
             if _TEASER.search(rest) and (related or "…" in rest or len(links) == 1 and _furniture(links[0].strip(), names)):
-                line.kind, line.link = "teaser", line.chars
+                line.cue, line.link = "teaser", line.chars
                 continue
             if rest[0] == "!" and not left.strip():
-                line.kind, line.link = "logo", line.chars
+                line.cue, line.link = "logo", line.chars
                 continue
         if related and mark:
-            line.kind, line.link = "related", line.chars
+            line.cue, line.link = "related", line.chars
             continue
         line.section = section
-        if _furniture(rest, names):
-            line.kind, line.link = "tool", line.chars
+        if _linked(rest, names):
+            line.cue, line.link = "tool", line.chars
             continue
         if related and not RELATED.fullmatch(rest):
             related = False
@@ -222,7 +230,7 @@ def read(markdown: str | None, host: str | None = None) -> list[Line]:
         elif RELATED.fullmatch(rest):
             related = True
             section += 1
-            line.kind, line.link = "related", line.chars
+            line.cue, line.link = "related", line.chars
     return _select(lines)
 
 
@@ -240,9 +248,9 @@ def _density(chars: int, link: int, tags: int, ratio: float) -> float:
 
 
 def _select(lines: list[Line]) -> list[Line]:
-    """Composite densities, the section of the greatest sum, the threshold of its path; sets the kind of the rest.
+    """Composite densities, the section of the greatest sum, the threshold of its path; sets the kind of every line.
 
-    The main section stays whole. Elsewhere an unkinded line under the threshold is thin, unless it is a sentence or
+    The main section keeps all lines of any density. Elsewhere a line under the threshold is thin, unless it is a sentence or
     belongs to a block whose lines are short by nature: code, a table, a heading, numbered items, or items with a heading or a sentence in their section.
     """
     c = sum(x.chars for x in lines) or 1
@@ -256,16 +264,18 @@ def _select(lines: list[Line]) -> list[Line]:
             node = sections.setdefault(x.section, [0.0, 0, 0, 0])
             for i, v in enumerate((x.density, x.chars, x.link, x.tags)):
                 node[i] += v
-            if not x.kind and not x.code and (_HEADING.match(x.text) or _sentence(x.text)):
+            if not x.code and (_HEADING.match(x.text) or _sentence(x.text)):
                 told.add(x.section)
-    if not sections:
-        return lines
-    best = max(sections, key=lambda k: (sections[k][0], -k))
-    threshold = min(_density(*sections[best][1:], ratio), _density(c, lc, sum(x.tags for x in lines), ratio))
+    best = max(sections, key=lambda k: (sections[k][0], -k), default=None)
+    threshold = min(_density(*sections[best][1:], ratio), _density(c, lc, sum(x.tags for x in lines), ratio)) if sections else 0.0
     for x in lines:
-        if not x.kind:
+        if x.density <= 0:
+            x.kind = x.cue or "link"
+        elif x.section == best or x.density >= threshold:
+            x.kind = "body"
+        else:
             natural = x.code or x.text[0] in "|>" or _HEADING.match(x.text) or (x.section in told or x.text[0].isdigit()) and _MARKER.match(x.text) or _sentence(x.text)
-            x.kind = "body" if x.section == best or x.density >= threshold or natural else "thin"
+            x.kind = "body" if natural else "thin"
     return lines
 
 

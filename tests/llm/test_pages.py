@@ -74,35 +74,71 @@ def test_furniture_frame(spark):
     assert pagebody.furniture_lines(df.limit(0)).count() == 0 and pagebody.main_bodies(df).where("body like 'The old%'").count() == 2
 
 
+def test_long_notices_count_by_their_sentences():
+    prose = "The old mill follows a draft of the report, and the people of the town are glad to see it."
+    notice = "We use cookies to make this site work. Some cookies are set by partners. You can change your choice at any time."
+    kinds = {x.text: x.kind for n in (1, 3, 60) for x in pagebody.read(f"# The mill\n\n{prose}\n\n{' '.join([notice] * n)}")}
+    assert {k for t, k in kinds.items() if t.startswith("We use")} == {"tool"} and kinds[prose] == "body"
+    assert [x.kind for x in pagebody.read(f"{prose}\n{notice} {prose}")] == ["body", "body"]
+
+
+def test_densities_alone_decide(monkeypatch):
+    assert any(x.kind not in ("body", "") for x in pagebody.read(PAGE))
+    monkeypatch.setattr(pagebody, "_select", lambda lines: lines)
+    assert {x.kind for x in pagebody.read(PAGE)} == {""}  # reading only measures
+
+
+def test_message_wording():
+    for s in ("Too many requests, slow down.", "Diese Seite gibt es nicht mehr.", "Veuillez activer JavaScript pour continuer.", "Your text goes here.", "Verify you are human to go on."):
+        assert residue.message(s), s
+        assert residue.message(" ".join([s] * 40)), s
+    assert residue.message("Sorry, we could not find /x. It may have been moved.")
+    assert not residue.message("The old mill follows a draft of the report.") and not residue.message("The mill keeps it. Access denied.")
+
+
 def kind(md, title=None, url="https://h/a/the-water-level-12"):
     p = residue.Page(md, "h", url, title)
-    return "placeholder" if not p.filled else "message" if p.message else ""
+    return "placeholder" if not p.filled else "filler" if p.filler else "mismatched" if p.mismatched else ""
 
 
 def test_residue_pages():
-    for s in ("Too many requests, slow down.", "# 404", "Diese Seite gibt es nicht mehr.", "Veuillez activer JavaScript pour continuer.", "# Head\n\nlorem lorem lorem lorem lorem lorem lorem", "Your text goes here.", "xxxx xxxx xxxx xxxx xxxx",
-              "Docta maris ipsum ultro velit quidem. Docta cura porta ordo.", "Verify you are human to go on.", "Sorry, we could not find /x. It may have been moved.\n\nShare this page"):
-        assert kind(s) == "message", s
+    for s in ("# Head\n\nlorem lorem lorem lorem lorem lorem lorem", "xxxx xxxx xxxx xxxx xxxx", "Docta maris ipsum ultro velit quidem. Docta cura porta ordo.", "Docta maris ipsum ultro velit quidem docta cura. " * 90):
+        assert kind(s) == "filler", s
     for s in ("# {{ title }}\n\nThe mill follows it.", "The mill supports {first_name} in spring.", "The mill shows %%city%%.", "It keeps [INSERT date] here.", "It is <user_name> again.", "We saw __page.body__ there.", "It has [[city]] in it.", "<%= name %> is ${amount}"):
         assert kind(s) == "placeholder", s
     assert kind("The mill follows it for a while.", title="{{title}}") == "placeholder"
-    for s in ("# What a 404 page should say\n\nThe words \"page not found\" help nobody; the editor knows it.", "Our template fills `{{title}}` with the heading of the page.", "```\n<h1>{{title}}</h1>\n```\n\nThe mill follows a draft of it.",
-              "The mill follows a draft of the report.\n\nFor the full experience please turn on JavaScript.", "# The water level\n\n- The names"):
+    for s in ("Our template fills `{{title}}` with the heading of the page and the water level.", "```\n<h1>{{title}}</h1>\n```\n\nThe water level follows a draft of it.", "# The water level\n\n- The names", "| a | b |"):
         assert kind(s) == "", s
+    assert kind("Nothing to see at this address today.") == "mismatched" and kind("The water level fell at this address.") == ""
 
 
 def test_residue_frame(spark):
     odd = "Nothing to see at this address today."
-    rows = [(i, f"host{i}", f"https://host{i}/a/the-water-level-{i}", None, odd) for i in range(12)]
-    rows += [(100, "x", "u", None, "Access denied."), (100, "x", "u", None, "Access denied."), (101, "x", "u", None, None), (102, "x", "u", None, " "), (103, "x", "https://x/a/the-mill-1", "The mill", "# The mill\n\nNobody had expected the mill to last.")]
-    got = {r.response_id: r.reason for r in residue.residue(frame(spark, rows)).collect()}
-    assert got[100] == "message" and all(got[i] == "duplicate" for i in range(12)) and set(got) == {*range(12), 100}
-    assert residue.residue(frame(spark, rows).limit(0)).count() == 0
+    rows = [(i, f"host{i}", f"https://host{i}/a/the-water-level-{i}", None, odd) for i in range(4)]
+    rows += [(20 + i, f"host{i}", f"https://host{i}/a/the-mill-{i}", "The mill", f"# The mill\n\nSorry, nobody found page {w} on host{i}, try again.") for i, w in enumerate(("kaul", "brem", "tiva", "zorn"))]
+    rows += [(30 + i, f"host{i}", f"https://host{i}/a/the-ferry-{i}", "The ferry", "# The ferry\n\nNobody had expected it to last.") for i in range(4)]
+    rows += [(100, "x", "u", None, "xxxx xxxx xxxx xxxx xxxx"), (100, "x", "u", None, "xxxx xxxx xxxx xxxx xxxx"), (101, "x", "u", None, None), (102, "x", "u", None, " "), (103, "x", "https://x/a/the-mill-1", "The mill", "# The mill\n\nNobody had expected the mill to last.")]
+    df = frame(spark, rows)
+    got = {r.response_id: r.reason for r in residue.residue(df).collect()}
+    assert got == {**dict.fromkeys([*range(4), *range(20, 24)], "duplicate"), 100: "filler"}
+    assert residue.residue(df.limit(0)).count() == 0
+
+
+def test_without_host_evidence_no_message_is_found(spark, monkeypatch):
+    rows = [(i, f"host{i}", f"https://host{i}/a/the-water-level-{i}", None, "Too many requests, slow down.") for i in range(4)]
+    assert residue.residue(frame(spark, rows)).count() == 4
+    monkeypatch.setattr(residue, "ADDRESSES", 5)
+    assert residue.residue(frame(spark, rows)).count() == 0
+
+
+def test_long_residue_is_found(spark):
+    rows = [(i, f"host{i}", f"https://host{i}/a/the-water-level-{i}", None, "Nothing to see at this address today, nor will there be tomorrow. " * 80) for i in range(4)]
+    assert residue.residue(frame(spark, rows)).count() == 4
 
 
 def test_one_host_with_many_addresses(spark):
     names = ["mill", "ferry", "bakery", "museum", "garden", "canal", "harvest", "lamp", "tower"]
     rows = [(i, "one", f"https://one/a/{n}-{i}", None, "Nothing to see at this address today.") for i, n in enumerate(names)]
     rows += [(20 + i, "two", "https://two/a/the-mill-1", None, "A note that stands once, at one place only.") for i in range(12)]
-    rows += [(40 + i, f"host{i}", f"https://host{i}/a/{n}-{i}", None, "Seven hosts keep this remark with them.") for i, n in enumerate(names[:7])]
+    rows += [(40 + i, f"host{i % 2}", f"https://host{i % 2}/a/{n}-{i}", None, "Two hosts keep this remark with them.") for i, n in enumerate(names[:7])]
     assert {(r.response_id, r.reason) for r in residue.residue(frame(spark, rows)).collect()} == {(i, "duplicate") for i in range(9)}
