@@ -1,14 +1,18 @@
 """Responses that hold an error, a notice, filler or an unfilled template in place of real content.
 
-Each page is reduced to its main body, and the terms of its address slug, its title and its body are compared.
-Placeholder detectors look at title and running text (quoted text and code aside). Of the other pages, those are
-low in information whose body lines all are messages, prompts or words without grammar; a line counts as a
-message by its wording, or because it stands in many low-information bodies of different hosts, or in the same
-body at many addresses (slug and title) of one host, with whose terms it shares nothing. Only ids, hashes and flags of short bodies are shuffled, counted per line
-key before (partial counts on the map side), so a host with a third of all rows is no hot key.
-
-Cases: null and blank markdown is never flagged; a redelivered response counts once; equal bodies get equal answers but
-for their own title and slug; very long pages are read whole.
+Each page is reduced to its main body, and the terms of its address slug, its title and its running text are compared: a
+page that agrees with its address or its title is left alone. Two detectors look at one page: placeholders in title and
+running text (quoted text and code aside), and filler, words without grammar that make up half of the running text or more. All
+other rows come from combined host evidence: a line that stands at three addresses at least, of different hosts or of one,
+is low in information, and a mismatched page whose running text is made of such lines is residue. Lines that differ by
+one inserted name share a half, and halves of a line are counted as well; what rests on halves, or on lines that the
+hosts repeat under a heading of their own, must pass an exact check of the wording, most of the running text being so worded.
+
+Only ids, hashes and flags of the lines of mismatched pages are shuffled, counted per line, host and address before (partial
+counts on the map side) and joined back with salted keys, so neither a host nor a line with a third of all rows is hot.
+
+Cases: null and blank markdown is never flagged, nor is a page of lists, tables or code alone; a redelivered response counts once, and
+an address once a host; equal bodies get equal answers but for their own title and slug; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from quillspark.llm.spam import FUNCTION
 from quillspark.operators.durable import checkpointed
 from quillspark.operators.rows import flat_map
 
-SHORT = 60  # words of a body that may be low in information by its lines alone
-HOSTS = 8  # hosts whose low-information bodies must share a line for it to count as a message
-ADDRESSES = 8  # addresses of one host that must answer with the same low-information body
+ADDRESSES = 3  # addresses (host and slug) at which a line must stand to be low in information
+HOSTS = 3  # hosts that must share it, where no address of one host has it ALONE times
+ALONE = 8
+SALTS = 16
 
 _NAME = r"(?:[A-Za-z][a-z]*(?:[_.][A-Za-z]+)+|[a-z]{3,20}|[A-Z]{3,20}|[A-Z]+(?:_[A-Z]+)+)"
 _PLACEHOLDER = re.compile(
@@ -64,15 +69,21 @@ _MESSAGE = re.compile(
 )
 _FUNCTION = frozenset(w for ws in FUNCTION.values() for w in ws.split() if len(w) > 1)
 _WORD = re.compile(r"[^\W\d_]+")
+_TERM = re.compile(r"[^\W\d_]{4,}")
+_MARKS = re.compile("[\u0300-\u036f]+")
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
+_LISTED = re.compile(r"[|>]|(?:[-*+•]|\d{1,3}[.)])\s")
+_NUMBERED = re.compile(r"[\w-]*\d[\w-]*|/\S+")
 _STRIP = re.compile(r"^(?:#{1,6}\s+|>\s*|[-*+]\s+|\d+[.)]\s+)+|[*_]{2,3}")
 
 
 def _fold(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
+    s = s.lower()
+    return s if s.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", s))
 
 
 def terms(s: str) -> set[str]:
-    return {w for w in _WORD.findall(_fold(s)) if len(w) > 3}
+    return set(_TERM.findall(_fold(s)))
 
 
 def slug(url: str | None) -> str:
@@ -90,10 +101,12 @@ def placeholder(s: str) -> bool:
 
 
 def message(s: str) -> bool:
-    """Whether a line is an error, a notice or a prompt by its wording."""
-    if len(s) > 200:
-        return False
-    return _MESSAGE.fullmatch(_QUOTED.sub(" ", s).strip() if any(c in s for c in "\"«»“”„`") else s) is not None
+    """Whether a line is an error, a notice or a prompt by its wording, or all of its sentences are."""
+    s = _QUOTED.sub(" ", s).strip() if any(c in s for c in "\"«»“”„`") else s
+    if _MESSAGE.fullmatch(s):
+        return True
+    parts = _SENTENCES.split(s)
+    return len(parts) > 1 and all(_MESSAGE.fullmatch(x) for x in parts)
 
 
 def ungrammatical(words: list[str]) -> bool:
@@ -109,34 +122,58 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - 2**63
 
 
+def agrees(about: set[str], body: set[str]) -> bool:
+    """Whether a body takes up the terms of an address or a title: all, or two at least and half of them."""
+    both = len(about & body)
+    return bool(both) and (both == len(about) or both >= 2 and both * 2 >= len(about))
+
+
+def line_keys(s: str) -> tuple[int, int, int]:
+    """Hashes of a line without its numbers and paths, whole and by halves."""
+    w = _WORD.findall(_NUMBERED.sub(" ", _fold(s)))
+    at = (len(w) + 1) // 2
+    return _hash(" ".join(w)), _hash("< " + " ".join(w[:at])), _hash("> " + " ".join(w[-at:]))
+
+
 class Page:
-    """What one response shows."""
+    """What one response shows by itself."""
 
-    __slots__ = ("agrees", "filled", "lines", "message", "short", "words")
+    __slots__ = ("filled", "filler", "lines", "mismatched", "own", "words")
 
     def __init__(self, markdown: str | None, host: str | None, url: str | None, title: str | None):
         body = [x.text for x in read(markdown, host) if x.kind == "body" and not x.code]
-        self.filled = bool(body) and not (placeholder(title or "") or _HINT.search("\n".join(body)) and any(placeholder(x) for x in body))
-        texts = [(t, x[0] == "#") for x in body if (t := _STRIP.sub("", x).strip())]
-        self.lines = [t for t, _ in texts]
-        self.words = sum(t.count(" ") + 1 for t in self.lines)
-        heads = [t for t, h in texts if h]
-        rest = [t for t, h in texts if not h]
-        self.short = self.words <= SHORT
-        self.agrees = False
-        if self.short:
-            # a heading of its own says what the page is about
-            self.agrees = any(not message(h) for h in heads) or bool((terms(slug(url)) | terms(title or "")) & terms(" ".join(rest)))
-        if rest:
-            self.message = all(message(t) or ungrammatical(_WORD.findall(t)) for t in rest)
-            if not self.message and not any(len(w := _WORD.findall(t)) >= 4 and not ungrammatical(w) for t in rest):
-                self.message = ungrammatical(_WORD.findall(" ".join(t for t in rest if t[0] != "|"))) and not any(t[0] == "|" for t in rest)
-        else:
-            self.message = bool(heads) and all(message(h) for h in heads)
+        self.filled = not (placeholder(title or "") or _HINT.search("\n".join(body)) and any(placeholder(x) for x in body))
+        heads = [t for x in body if x[0] == "#" and (t := _STRIP.sub("", x).strip())]
+        run = [t for x in body if x[0] != "#" and not _LISTED.match(x) and (t := _STRIP.sub("", x).strip())]
+        listed = any(_LISTED.match(x) for x in body)
+        self.lines = run or ([] if listed else heads)
+        sizes = [t.count(" ") + 1 for t in self.lines]
+        self.words = sum(sizes)
+        self.filler = not listed and bool(run) and sum(self._most(lambda t: ungrammatical(_WORD.findall(t)))) > 0
+        self.mismatched = bool(self.lines) and not listed and not self.filler
+        if self.mismatched:
+            text = terms(" ".join(run))
+            self.mismatched = not agrees(terms(slug(url)), text) and not agrees(terms(title or ""), text)
+        self.own = not run or self.mismatched and any(not message(h) for h in heads)  # a heading that says what the page is about
+
+    def _most(self, test: Callable[[str], bool]) -> list[bool]:
+        """The test of every line; all false unless most of the words are in lines that hold, so that prose is soon left."""
+        left = self.words
+        out = []
+        for t in self.lines:
+            out.append(test(t))
+            left -= 0 if out[-1] else t.count(" ") + 1
+            if left * 2 <= self.words:
+                return [False] * len(self.lines)
+        return out
+
+    def worded(self) -> list[bool]:
+        """Which lines are worded as messages."""
+        return self._most(message)
 
 
 def residue(df: DataFrame, id_col: str = "response_id", text_col: str = "markdown", host_col: str = "host", url_col: str = "page_url", title_col: str = "title") -> DataFrame:
-    """Ids of the responses to leave out, with the reason: placeholder, message or duplicate."""
+    """Ids of the responses to leave out, with the reason: placeholder, filler or duplicate."""
     key = df.schema[id_col].dataType.simpleString()
 
     def make() -> Callable[..., list[tuple]]:
@@ -144,29 +181,30 @@ def residue(df: DataFrame, id_col: str = "response_id", text_col: str = "markdow
             if text is None or not text.strip():
                 return []
             p = Page(text, host, url, title)
-            if not p.lines:
+            if not p.lines and p.filled:
                 return []
             if not p.filled:
-                return [(k, "placeholder", *[None] * 5)]
-            if p.message:
-                return [(k, "message", *[None] * 5)]
-            if not p.short or p.agrees:
+                return [(k, "placeholder", *[None] * 8)]
+            if p.filler:
+                return [(k, "filler", *[None] * 8)]
+            if not p.mismatched:
                 return []
-            keys = {_hash(re.sub(r"/\S+|\d+", "0", _fold(t))) for t in p.lines}
-            body, address = _hash(str(sorted(keys))), _hash(f"{slug(url)}\n{title or ''}".lower())
-            return [(k, None, _hash(host or ""), x, len(keys), body, address) for x in keys]
+            worded = p.worded()
+            site, address = _hash(host or ""), _hash(f"{host}\n{slug(url)}\n{title or ''}".lower())
+            return [(k, None, site, address, i, t.count(" ") + 1, p.words, p.own, worded[i], [*line_keys(t)]) for i, t in enumerate(p.lines)]
 
         return rows
 
-    # a few short rows, read by both branches below
-    found = checkpointed(flat_map(df, [id_col, text_col, host_col, url_col, title_col], make, f"`{id_col}` {key}, reason string, host bigint, line bigint, n int, body bigint, address bigint"))
+    schema = f"`{id_col}` {key}, reason string, host bigint, address bigint, line int, words int, of int, own boolean, worded boolean, keys array<bigint>"
+    found = checkpointed(flat_map(df, [id_col, text_col, host_col, url_col, title_col], make, schema))  # read by the branches below
     sure = found.where("reason is not null").select(id_col, "reason")
-    # low-information bodies without agreement: a line shared by many hosts is a message
-    short = found.where("reason is null").distinct()
-    common = short.groupBy("line", "host").count().groupBy("line").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= HOSTS).select("line")
-    twice = short.join(common, "line", "left_semi").groupBy(id_col).agg(F.countDistinct("line").alias("_m"), F.max("n").alias("_n")).where("_m = _n")
-    # the same body at many addresses of one host; equal addresses are merged first, so a hot host sends few rows
-    answers = short.groupBy("body", "host", "address").count().groupBy("body", "host").agg(F.count("*").alias("addresses")).where(F.col("addresses") >= ADDRESSES).select("body", "host")
-    twice = twice.select(id_col).unionAll(short.join(answers, ["body", "host"], "left_semi").select(id_col))
-    both = sure.unionAll(twice.select(id_col, F.lit("duplicate").alias("reason")))
-    return both.groupBy(id_col).agg(F.max("reason").alias("reason"))
+    lines = found.where("reason is null").select(id_col, "host", "address", "line", "words", "of", "own", "worded", F.posexplode("keys").alias("half", "key"))
+    # equal addresses are merged first, so a line that one host repeats sends few rows
+    sites = lines.groupBy("key", "host", "address").count().groupBy("key", "host").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.max("n").alias("alone"))
+    common = sites.where((F.col("n") >= ADDRESSES) & ((F.col("hosts") >= HOSTS) | (F.col("alone") >= ALONE))).select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    said = lines.withColumn("salt", F.pmod(F.xxhash64(id_col, "line"), F.lit(SALTS)).cast("int")).join(common, ["key", "salt"], "left_semi")
+    # a whole line is evidence by itself on a page without a heading of its own, anything else if its wording bears it out
+    bears = F.col("worded") | (F.col("half") == 0) & ~F.col("own")
+    by_line = said.where(bears).groupBy(id_col, "line").agg(F.max("words").alias("words"), F.max("of").alias("of"))
+    duplicate = by_line.groupBy(id_col).agg(F.sum("words").alias("words"), F.max("of").alias("of")).where("words * 2 > of").select(id_col, F.lit("duplicate").alias("reason"))
+    return sure.unionAll(duplicate).groupBy(id_col).agg(F.max("reason").alias("reason"))
