@@ -93,7 +93,7 @@ def test_message_wording():
         assert residue.message(s), s
         assert residue.message(" ".join([s] * 40)), s
     assert residue.message("Sorry, we could not find /x. It may have been moved.")
-    assert not residue.message("The old mill follows a draft of the report.") and not residue.message("The mill keeps it. Access denied.")
+    assert not residue.message("The old mill follows a draft of the report.") and not residue.message("The old mill keeps a draft of the report. Access denied.")
 
 
 def kind(md, title=None, url="https://h/a/the-water-level-12"):
@@ -117,7 +117,7 @@ def test_residue_frame(spark):
     rows = [(i, f"host{i}", f"https://host{i}/a/the-water-level-{i}", None, odd) for i in range(4)]
     rows += [(20 + i, f"host{i}", f"https://host{i}/a/the-mill-{i}", "The mill", f"# The mill\n\nSorry, nobody found page {w} on host{i}, try again.") for i, w in enumerate(("kaul", "brem", "tiva", "zorn"))]
     rows += [(30 + i, f"host{i}", f"https://host{i}/a/the-ferry-{i}", "The ferry", "# The ferry\n\nNobody had expected it to last.") for i in range(4)]
-    rows += [(100, "x", "u", None, "xxxx xxxx xxxx xxxx xxxx"), (100, "x", "u", None, "xxxx xxxx xxxx xxxx xxxx"), (101, "x", "u", None, None), (102, "x", "u", None, " "), (103, "x", "https://x/a/the-mill-1", "The mill", "# The mill\n\nNobody had expected the mill to last.")]
+    rows += [(100, "www.kaul.example", "u", None, "xxxx xxxx xxxx xxxx xxxx"), (100, "www.kaul.example", "u", None, "xxxx xxxx xxxx xxxx xxxx"), (101, "x", "u", None, None), (102, "x", "u", None, " "), (103, "x", "https://x/a/the-mill-1", "The mill", "# The mill\n\nNobody had expected the mill to last.")]
     df = frame(spark, rows)
     got = {r.response_id: r.reason for r in residue.residue(df).collect()}
     assert got == {**dict.fromkeys([*range(4), *range(20, 24)], "duplicate"), 100: "filler"}
