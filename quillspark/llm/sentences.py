@@ -71,6 +71,7 @@ _STARTERS, _SAID, _ORD, _ORD_BEFORE = map(frozenset, (STARTERS, SAID, ORDINAL_NO
 _SPACE = r"\s﻿​"
 _BLANK = re.compile(rf"(?:\r\n|[\n\r ])[^\S\r\n]*﻿?(?:(?:\r\n|[\n\r ])[{_SPACE}]*)+")
 _ITEM = re.compile(r"(?m)^([ \t]*)([-*•‣·–+]|\(?\d{1,3}[.)]|\(?[a-z][.)]|#{1,6})[ \t]+(?=\S)")
+_LINE_END = re.compile("[\r\n]")
 _BULLET = re.compile(r"[-*•‣·+#]")
 _MARK = re.compile(r"[.!?…。！？｡．।॥؟۔]+|[\"'’‘‚“”„«»‹›「」『』《》()\[\]{}（）［］【】〔〕]")
 _WORD = re.compile(r"[^\W_]+")
@@ -102,6 +103,23 @@ def _left_word(text: str, end: int, begin: int) -> str:
     return text[i:end]
 
 
+def _back(text: str, at: int, begin: int) -> int:
+    """Where the white space before a place begins."""
+    while at > begin and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _plain_word(text: str, end: int, begin: int) -> bool:
+    """Whether a word of two letters or more, small but for the first, ends here and follows no full stop."""
+    i = end
+    while i > begin and text[i - 1].isalnum():
+        i -= 1
+    if end - i < 2 or i > begin and (text[i - 1] == "." or "ऀ" <= text[i - 1] <= "෿"):
+        return False
+    return text[i:end].isalpha() and text[i + 1:end].islower()
+
+
 def _dot_ends(text: str, dot: int, begin: int, after: int, end: int) -> bool:
     """Whether the single full stop at dot ends a sentence; after: where the next word begins."""
     left = _left_word(text, dot, begin)
@@ -112,7 +130,7 @@ def _dot_ends(text: str, dot: int, begin: int, after: int, end: int) -> bool:
     if left.isdecimal():
         if word.lower() in _ORD:
             return False
-        before = _left_word(text, len(text[:dot - len(left)].rstrip()), begin).lower() if len(left) <= 2 else ""
+        before = _left_word(text, _back(text, dot - len(left), begin), begin).lower() if len(left) <= 2 else ""
         return not (before in _ORD_BEFORE and word[:1].isupper())
     if "." in left:
         if left[-1].isdecimal():
@@ -138,34 +156,39 @@ def _dot_ends(text: str, dot: int, begin: int, after: int, end: int) -> bool:
 def _pairs(text: str, a: int, b: int) -> dict[int, int]:
     """Opening to closing position of every matched quotation and bracket of a block."""
     stack: list[tuple[int, str]] = []
+    depths: dict[str, list[int]] = {}  # by closer: where in the stack its openers are, so that a stray closer costs no search
     out: dict[int, int] = {}
+
+    def push(i: int, closers: str) -> None:
+        for x in closers:
+            depths.setdefault(x, []).append(len(stack))
+        stack.append((i, closers))
+
     for m in _MARK.finditer(text, a, b):
         c, i = m.group(), m.start()
         if c[0] in ".!?…。！？｡．।॥؟۔":
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if c in stack[k][1]:
-                if c in "'’" and i + 1 < b and text[i + 1].isalnum():
-                    continue
-                out[stack[k][0]] = i
-                del stack[k:]
-                break
-        else:
-            if c in PAIRS:
-                stack.append((i, PAIRS[c]))
-            elif c in QUOTES:
-                if c in "'‘\"" and (i > a and text[i - 1].isalnum() or i + 1 >= b or text[i + 1].isspace() and c != '"'):
-                    continue
-                if c == "“" and i > a and text[i - 1].isalnum() and not _CASELESS.match(text[i - 1]):
-                    continue
-                stack.append((i, QUOTES[c]))
+        if depths.get(c) and not (c in "'’" and i + 1 < b and text[i + 1].isalnum()):
+            k = depths[c][-1]
+            out[stack[k][0]] = i
+            while len(stack) > k:
+                for x in stack.pop()[1]:
+                    depths[x].pop()
+        elif c in PAIRS:
+            push(i, PAIRS[c])
+        elif c in QUOTES:
+            if c in "'‘\"" and (i > a and text[i - 1].isalnum() or i + 1 >= b or text[i + 1].isspace() and c != '"'):
+                continue
+            if c == "“" and i > a and text[i - 1].isalnum() and not _CASELESS.match(text[i - 1]):
+                continue
+            push(i, QUOTES[c])
     return out
 
 
 def _attributed(text: str, after: int, end: int, begin: int, opened: int) -> bool:
     """Whether the words after a closed quotation name its speaker."""
-    before = text[begin:opened].rstrip()
-    if before.endswith((":", "：")):
+    before = _back(text, opened, begin)
+    if before > begin and text[before - 1] in ":：":
         return False
     clause = re.split("[.!?。！？।]", text[after:min(end, after + 80)], maxsplit=1)[0]
     if _CASELESS.search(clause):
@@ -180,41 +203,57 @@ def _block(text: str, a: int, b: int) -> Iterator[int]:
     closes = _pairs(text, a, b)
     opened = {v: k for k, v in closes.items()}
     stack: list[int] = []  # openers around the current position
+    brackets, corners = [0], [0]  # how many of the openers up to each depth are brackets, and corner quotes
     begin, skip = a, a
+    led = (-1, -1, False)  # whether the first opener leads its sentence
+
+    def leads(x: int) -> bool:
+        nonlocal led
+        if led[:2] != (begin, x):
+            led = begin, x, _back(text, x, begin) == begin
+        return led[2]
+
+    def cut(n: int) -> None:
+        del stack[n:], brackets[n + 1:], corners[n + 1:]
+
     for m in _MARK.finditer(text, a, b):
         i, c = m.start(), m.group()
         if i < skip:
             continue
         if i in closes:
             stack.append(i)
+            brackets.append(brackets[-1] + (c in PAIRS))
+            corners.append(corners[-1] + (c in "「『"))
             continue
         if i in opened:
-            while stack and stack[-1] >= opened[i]:
-                stack.pop()
+            n = len(stack)
+            while n and stack[n - 1] >= opened[i]:
+                n -= 1
+            cut(n)
             continue
         if c[0] not in ".!?…。！？｡．।॥؟۔":
             continue
-        if any(text[x] in PAIRS for x in stack) and not (len(stack) == 1 and not text[begin:stack[0]].strip()):
+        if brackets[-1] and not (len(stack) == 1 and leads(stack[0])):
             continue
-        at, inner = m.end(), list(stack)
-        first = inner[0] if inner else -1
+        at, inner = m.end(), len(stack)  # inner: how many of the openers stay open
+        first = stack[0] if stack else -1
         while at < b:  # closers belong to the sentence
             j = _TRIM.match(text, at, b).end()
             if at in opened:
                 j = at
-            elif not (j in opened and text[j] in "»«" and text[at:j].strip("\xa0  ") == "" and inner and opened[j] == inner[-1]):
+            elif not (j in opened and text[j] in "»«" and text[at:j].strip("\xa0  ") == "" and inner and opened[j] == stack[inner - 1]):
                 if text[at] in "*_" and not (at + 1 < b and text[at + 1].isalnum()):
                     at += 1
                     continue
                 break
-            if inner and inner[-1] >= opened[j]:
-                inner.pop()
+            if inner and stack[inner - 1] >= opened[j]:
+                inner -= 1
             elif not inner:
                 break
             at = j + 1
-        if any(text[x] in PAIRS for x in inner):
+        if brackets[inner]:
             continue
-        closed = len(inner) < len(stack)
+        closed = inner < len(stack)
         after = _NEXT.match(text, at, b).end()
         if _TRIM.match(text, at, b).end() >= b:
             yield b
@@ -233,7 +272,7 @@ def _block(text: str, a: int, b: int) -> Iterator[int]:
                     continue
                 if _attributed(text, at, b, begin, first):
                     continue
-            if any(text[x] in "「『" for x in inner) and not spaced and at in opened:
+            if corners[inner] and not spaced and at in opened:
                 continue
         elif c[-1] in DANDA:
             if closed and _attributed(text, at, b, begin, first):
@@ -243,8 +282,7 @@ def _block(text: str, a: int, b: int) -> Iterator[int]:
         else:
             if not spaced:
                 # a missing space does not join sentences
-                left = _left_word(text, i, begin)
-                if not (c == "." and nxt.isupper() and text[at] == nxt and "." not in left and len(left) > 1 and left.isalpha() and left[1:].islower()
+                if not (c == "." and nxt.isupper() and text[at] == nxt and _plain_word(text, i, begin)
                         and after + 1 < b and (text[after + 1].islower() or text[after + 1] == " " or text[after + 1] in "'’")
                         or c != "." and nxt and (nxt.isupper() or caseless) and (after == at or text[at] in "¿¡\"“«„»(") and not (closed and text[at] in "，、,;")):
                     continue
@@ -261,7 +299,7 @@ def _block(text: str, a: int, b: int) -> Iterator[int]:
                 continue
         yield at
         begin = skip = at
-        stack = inner
+        cut(inner)
 
 
 def _thai(text: str, a: int, b: int) -> Iterator[int]:
@@ -288,8 +326,8 @@ def _items(text: str, a: int, b: int) -> list[int]:
         if not levels or levels[-1][0] < level[0]:
             levels.append(level)
         out.append(m.start())
-        if m.group(2)[0] == "#" and (line := re.search("[\r\n]", text[m.end():b])):
-            out.append(m.end() + line.start())
+        if m.group(2)[0] == "#" and (line := _LINE_END.search(text, m.end(), b)):
+            out.append(line.start())
     return out
 
 

@@ -42,3 +42,15 @@ def test_frame(spark):
     assert sum(r.text_id == 1 for r in rows) == 4 and not [r for r in rows if r.text_id in (2, 3)]
     assert max(r.end_byte for r in rows) == len(("Ä. " * 3000 + "Ende.").encode())
     assert s.split_sentences(df.limit(0)).collect() == []
+
+
+def test_time_is_linear_in_the_text():
+    import time
+
+    for unit in ("( a ] b ", "a.", "(a. ", "“A b. ", "Am 12. Mai. ", "# a\n", "Wort.Wort", '"A b." c '):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            s.spans(unit * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5, unit
