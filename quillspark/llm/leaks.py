@@ -1,11 +1,12 @@
 """Evaluation passages inside a training corpus.
 
-The normalised word n-grams of the test items form a hash set; every document's token windows are looked up in
-it, and a hit is verified by aligning document and item around it. One narrow pass over the corpus, no shuffle:
-the set is sent to the executors in blocks of at most BLOCK_NGRAMS n-grams, so what is broadcast is bounded
-whatever the number of items; beyond one block the corpus is scanned once a block.
+The normalised word n-grams of the test items form a set of sorted 64-bit hashes; every document's token windows are looked
+up in it, and a hit is verified by aligning the words of document and item around it. One narrow pass over the corpus, no
+shuffle: the set is sent to the executors in blocks of at most BLOCK_NGRAMS n-grams (16 bytes each, and the items' words), so
+what is broadcast is bounded whatever the number of items; beyond one block the corpus is scanned once a block.
 
-n = 6 loses nothing: of 20 words with at most 2 changed or put in, 6 at least stand unbroken.
+n = 6 misses no run: of 20 words with at most 2 changed or put in, 6 at least stand unbroken. The alignment looks six words
+ahead at each error; where more than four errors stand so close that it gives up, the longer side of the run is found by itself.
 
 Cases: null or empty texts and items give no rows; a pair is reported once, however often the passage occurs;
 repeated documents are each reported; items shorter than the least run can't leak; ties don't occur.
@@ -15,10 +16,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from quillspark.operators.rows import flat_map
 N = 6
 LEAST = 20
 ERRORS = 10  # one word in ten
-BLOCK_NGRAMS = 2_000_000
+BLOCK_NGRAMS = 8_000_000
 
 _TAG = re.compile(r"<[/!?]?[A-Za-z][^<>]{0,300}>|<!--.*?-->|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,10});|(?<=\])\([^()\s]*\)|(?<=[^\W_])[*_~`]{1,3}(?=[^\W_])", re.S)
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[­​-‍]|[-­][ \t]*\r?\n[ \t]*(?=[a-zß-ÿ]))*")
@@ -107,32 +109,61 @@ def best_run(d: list[str], t: list[str], i: int, j: int) -> tuple[int, int, int]
     return best
 
 
+_WORD_HASH = lru_cache(200_000)(xxhash.xxh64_intdigest)
+_STEPS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(N)], np.uint64)  # odd, so no word's hash is lost
+
+
+def gram_hashes(w: list[str]) -> np.ndarray:
+    """64-bit hashes of the n-grams of a list of words."""
+    h = np.fromiter(map(_WORD_HASH, w), np.uint64, len(w))
+    n = len(h) - N + 1
+    return sum((h[k:k + n] * _STEPS[k] for k in range(N)), np.zeros(n, np.uint64)) if n > 0 else h[:0]
+
+
 class Index:
-    """n-grams of some test items."""
+    """Hashed n-grams of some test items in order of the hash, 16 bytes each, and the items' words for the verification.
+
+    It is built once on the driver; a worker loads the arrays once, whatever the number of its tasks.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.words = {k: w for k, text in items if len(w := words(text)) >= LEAST}
-        self.grams: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for k, w in self.words.items():
-            for j, g in enumerate(zip(*(w[x:] for x in range(N)))):
-                self.grams[g].append((k, j))
-        self.grams = dict(self.grams)
+        found = [(k, w) for k, text in items if len(w := words(text)) >= LEAST]
+        self.ids = [k for k, _ in found]
+        self.text = [" ".join(w) for _, w in found]
+        parts = [gram_hashes(w) for _, w in found]
+        hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.item = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])[order]
+        self.place = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts])[order] if parts else np.zeros(0, np.int32)
 
     def scan(self, text: str | None) -> dict[int, tuple[int, int, int]]:
         """Item to (item words, first, end character) of its longest verified run."""
-        grams = self.grams
         w, spans = tokens(text)
-        hits = [(i, g) for i, g in enumerate(zip(*(w[x:] for x in range(N)))) if g in grams]
         out: dict[int, tuple[int, int, int]] = {}
+        if not len(self.hashes) or len(w) < N:
+            return out
+        grams = gram_hashes(w)
+        low = np.searchsorted(self.hashes, grams)
+        near = np.minimum(low, len(self.hashes) - 1)
+        hits = np.nonzero(self.hashes[near] == grams)[0]
+        if not len(hits):
+            return out
+        high = np.searchsorted(self.hashes, grams[hits], "right")
         done: dict[tuple[int, int], int] = {}
-        for i, g in hits:
-            for k, j in grams[g]:
+        said: dict[int, list[str]] = {}
+        for i, a, b in zip(hits.tolist(), low[hits].tolist(), high.tolist()):
+            for at in range(a, b):
+                k, j = int(self.item[at]), int(self.place[at])
                 if done.get((k, i - j), -1) >= i:
                     continue
-                run = best_run(w, self.words[k], i, j)
+                if k not in said:
+                    said[k] = self.text[k].split(" ")
+                run = best_run(w, said[k], i, j)
                 done[k, i - j] = run[2] if run else i
-                if run and (k not in out or run[0] > out[k][0]):
-                    out[k] = (run[0], spans[run[1]][0], spans[run[2]][1])
+                item = self.ids[k]
+                if run and (item not in out or run[0] > out[item][0]):
+                    out[item] = (run[0], spans[run[1]][0], spans[run[2]][1])
         return out
 
 
@@ -157,10 +188,10 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     schema = f"`{id_col}` {key}, `{item_col}` {item}, run_words int, start_char int, end_char int"
 
     def scan(block: list[tuple[int, str | None]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast(Index(block))
 
         def make() -> Callable[..., list[tuple]]:
-            index = Index(sent.value)
+            index = sent.value
             return lambda k, text: [(k, i, *run) for i, run in index.scan(text).items()]
 
         return flat_map(df, [id_col, text_col], make, schema)
