@@ -37,39 +37,44 @@ TAGS = frozenset(
 COMMANDS = frozenset(
     "alpha begin beta bf caption chapter cite citep citet delta displaystyle document dots emph end enumerate epsilon eqref eta footnote frac gamma ge geq href in infty int item itemize it label lambda ldots le left leq maketitle mathbb mathbf mathrm mu ne neq nu omega paragraph partial phi pi pm prod psi ref rho right rm section sigma sqrt subsection subsubsection sum tau text textbf textit texttt textsc theta times title to underline url usepackage varepsilon xi zeta cdot".split()
 )
+#: Kind, family, signs of which a text must have one, and pattern. Every pattern stops at the next sign of its own kind, so constructs of
+#: any length are found in time linear in the text.
 PATTERNS = [
-    ("comment", "html", r"<!--.*?(?:-->|\Z)"),
-    ("tag", "html", r"</?[A-Za-z][A-Za-z0-9-]*(?:(?:\s|&nbsp;|/)[^<>]*)?>|<[^<>\n\s][^<>\n]{0,80}>"),
-    ("entity", "html", r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,9});?"),
-    ("fence", "markdown", r"(?m)^[ \t]*(?:```|~~~)[^\n]*\n(?:.*?\n)??[ \t]*(?:```|~~~)[ \t]*$|```[^`]*```"),
-    ("code", "markdown", r"(?<!`)`[^`\n]{1,200}`(?!`)"),
-    ("strong", "markdown", r"(?<![*\\])\*{1,3}[^*\n]{1,200}\*{1,3}"),
-    ("under", "markdown", r"_{1,3}[^_\n]{1,80}_{1,3}|(?<=\w)_(?=\w)"),
-    ("strike", "markdown", r"~~[^~\n]{1,120}~~|~(?=\d)"),
-    ("atx", "markdown", r"(?m)^[ \t]{0,3}#{1,6}[ \t]*[^\s#][^\n]*"),
-    ("setext", "markdown", r"(?m)(?<=\n)[=-]{3,}[ \t]*$"),
-    ("link", "markdown", r"!?\[[^\[\]\n]{0,200}\](?:\([^()\n]{0,200}\)|\[[^\[\]\n]{0,60}\])?"),
-    ("row", "markdown", r"(?m)^[ \t]*\|[^\n]*\|[ \t]*$|(?<=\w) \| (?=\w)"),
-    ("bullet", "markdown", r"(?m)^[ \t]*(?:[-+*]|>|\d{1,3}[.)])[ \t]+(?=\S)"),
-    ("wlink", "wiki", r"\[\[[^\[\]\n]{1,200}\]\]"),
-    ("template", "wiki", r"\{\{[^{}]{1,200}\}\}"),
-    ("quotes", "wiki", r"'{2,5}[^'\n]{1,200}'{2,5}"),
-    ("wheading", "wiki", r"={2,6}[^=\n]{1,200}={2,6}|(?<=\w )==(?= \w)"),
-    ("wtable", "wiki", r"\{\|.*?(?:\|\}|\Z)"),
-    ("wrow", "wiki", r"(?m)^\|(?:-(?!-)|[+}])[^\n]*$|^[|!] [^\n|]*$"),
-    ("switch", "wiki", r"__[A-Z]{3,}__"),
-    ("command", "latex", r"~?\\[A-Za-z]+\*?(?:\[[^\[\]\n]{0,40}\])?(?:\{[^{}\n]{0,200}\})*"),
-    ("math", "latex", r"\$\$[^$]{1,300}\$\$|\$[^$\n]{1,120}\$|\\\[.{1,400}?\\\]|\\\(.{1,300}?\\\)"),
-    ("group", "latex", r"\{[^{}|\n]{1,120}\}"),
-    ("caret", "latex", r"(?<=\w)\^(?:\{[^{}\n]*\}|\w)"),
+    ("comment", "html", "<!--", r"<!--.*?(?:-->|\Z)"),
+    ("tag", "html", "<", r"</?[A-Za-z][A-Za-z0-9-]*(?:(?:\s|&nbsp;|/)[^<>]*)?>|<[^<>\n\s][^<>\n]*>"),
+    ("entity", "html", "&", r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,9});?"),
+    ("fence", "markdown", "``` ~~~", r"(?m)^[ \t]*(?:```|~~~)[^\n]*\n(?:.*?\n)??[ \t]*(?:```|~~~)[ \t]*$|```[^`]*```"),
+    ("code", "markdown", "`", r"(?<!`)`[^`\n]+`(?!`)"),
+    ("strong", "markdown", "*", r"(?<![*\\])\*{1,3}[^*\n]+\*{1,3}"),
+    ("under", "markdown", "_", r"_{1,3}[^_\n]+_{1,3}|(?<=\w)_(?=\w)"),
+    ("strike", "markdown", "~", r"~~[^~\n]+~~|~(?=\d)"),
+    ("atx", "markdown", "#", r"(?m)^[ \t]{0,3}#{1,6}[ \t]*[^\s#][^\n]*"),
+    ("setext", "markdown", "--- ===", r"(?m)(?<=\n)[=-]{3,}[ \t]*$"),
+    ("link", "markdown", "[", r"!?\[[^\[\]\n]*\](?:\([^()\n]*\)|\[[^\[\]\n]*\])?"),
+    ("row", "markdown", "|", r"(?m)^[ \t]*\|[^\n]*\|[ \t]*$|(?<=\w) \| (?=\w)"),
+    ("bullet", "markdown", "", r"(?m)^[ \t]*(?:[-+*]|>|\d{1,3}[.)])[ \t]+(?=\S)"),
+    ("wlink", "wiki", "[[", r"\[\[[^\[\]\n]+\]\]"),
+    ("template", "wiki", "{{", r"\{\{[^{}]+\}\}"),
+    ("quotes", "wiki", "''", r"'{2,5}[^'\n]+'{2,5}"),
+    ("wheading", "wiki", "==", r"={2,6}[^=\n]+={2,6}|(?<=\w )==(?= \w)"),
+    ("wtable", "wiki", "{|", r"\{\|.*?(?:\|\}|\Z)"),
+    ("wrow", "wiki", "| !", r"(?m)^\|(?:-(?!-)|[+}])[^\n]*$|^[|!] [^\n|]*$"),
+    ("switch", "wiki", "__", r"__[A-Z]{3,}__"),
+    ("command", "latex", "\\", r"~?\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\})*"),
+    ("math", "latex", "$ \\", r"\$\$[^$]+\$\$|\$[^$\n]+\$|\\\[(?:(?!\\\[).)+?\\\]|\\\((?:(?!\\\().)+?\\\)"),
+    ("group", "latex", "{", r"\{[^{}|\n]+\}"),
+    ("caret", "latex", "^", r"(?<=\w)\^(?:\{[^{}\n]*\}|\w)"),
 ]
-KINDS = [k for k, _, _ in PATTERNS]
-FAMILY = {k: f for k, f, _ in PATTERNS}
-_RES = [(k, re.compile(p, re.S)) for k, _, p in PATTERNS]
+KINDS = [k for k, *_ in PATTERNS]
+FAMILY = {k: f for k, f, *_ in PATTERNS}
+_RES = [(k, signs.split(), re.compile(p, re.S)) for k, _, signs, p in PATTERNS]
+_RANK = {k: i for i, k in enumerate(KINDS)}
 _ANY = re.compile(r"[<&`*_~#=\[|>{'\\$^]|(?m:^[ \t]*(?:[-+]|\d{1,3}[.)])[ \t])")
 OPAQUE = {"fence", "code", "math", "comment"}  # nothing inside them is markup of its own
 _NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9]*)")
 _CMD = re.compile(r"~?\\([A-Za-z]+)")
+_SPACES = re.compile(r"[^\S\n]*")
+_LINE_END = re.compile(r"[^\S\n]*(?:\n|\Z)")
 
 
 class Node:
@@ -88,9 +93,8 @@ def tree(text: str) -> list[Node]:
     """All candidate nodes, parents set by containment."""
     if not _ANY.search(text):
         return []
-    found = [Node(k, m.start(), m.end()) for k, rx in _RES for m in rx.finditer(text) if m.end() > m.start()]
-    order = {k: i for i, k in enumerate(KINDS)}
-    found.sort(key=lambda n: (n.a, -n.b, order[n.kind]))
+    found = [Node(k, m.start(), m.end()) for k, signs, rx in _RES if not signs or any(x in text for x in signs) for m in rx.finditer(text) if m.end() > m.start()]
+    found.sort(key=lambda n: (n.a, -n.b, _RANK[n.kind]))
     stack: list[Node] = []
     for n in found:
         while stack and stack[-1].b <= n.a:
@@ -113,12 +117,13 @@ def features(text: str, nodes: list[Node]) -> np.ndarray:
     fam = Counter(FAMILY[n.kind] for n in nodes)
     below = [0] * len(nodes)
     at = {id(n): i for i, n in enumerate(nodes)}
-    for n in nodes:
-        up = n.parent
-        while up is not None:
-            below[at[id(up)]] += 1
-            up = up.parent
+    for n, i in zip(reversed(nodes), range(len(nodes) - 1, -1, -1)):  # children come after their parents
+        if n.parent is not None:
+            below[at[id(n.parent)]] += 1 + below[i]
+    like = [Counter(c.kind for c in n.children) if n.children else None for n in nodes]
     rows = []
+    begin = until = -1  # the line of the current node, and where its text begins
+    lead = 0
     for i, n in enumerate(nodes):
         s = text[n.a:n.b]
         inner = s.strip("*_`~'=#$<>/[]{}|&;\\")
@@ -127,16 +132,17 @@ def features(text: str, nodes: list[Node]) -> np.ndarray:
         word = name.group(1).lower() if name else ""
         known = word in (TAGS if n.kind == "tag" else COMMANDS)
         attributes = len(re.findall(r"[\w-]+\s*=\s*[\"'\w]", s)) if n.kind == "tag" else s.count("{")
-        line = text.rfind("\n", 0, n.a) + 1
-        start = not text[line:n.a].strip()
-        end = text.find("\n", n.b)
-        ends = not text[n.b:end if end >= 0 else len(text)].strip()
-        siblings = sum(c.kind == n.kind for c in n.parent.children) if n.parent else size[n.kind]
+        if not begin <= n.a < until:
+            begin, until = text.rfind("\n", 0, n.a) + 1, text.find("\n", n.a) + 1 or len(text) + 1
+            lead = _SPACES.match(text, begin).end()
+        start = n.a <= lead
+        ends = _LINE_END.match(text, n.b) is not None
+        siblings = like[at[id(n.parent)]][n.kind] if n.parent else size[n.kind]
         opener = re.match(r"\W*", s).group()
         closer = s[len(s.rstrip("*_`~'=#$>]})|;")):]
         rows.append([
-            KINDS.index(n.kind), len(s), len(inner), len(inner) / (len(s) + 1), below[i], len(s) / (1 + below[i]), n.depth,
-            KINDS.index(n.parent.kind) if n.parent else -1, siblings, fam[FAMILY[n.kind]], _kind(left), _kind(right),
+            _RANK[n.kind], len(s), len(inner), len(inner) / (len(s) + 1), below[i], len(s) / (1 + below[i]), n.depth,
+            _RANK[n.parent.kind] if n.parent else -1, siblings, fam[FAMILY[n.kind]], _kind(left), _kind(right),
             _kind(inner[:1]), _kind(s[len(opener):][:1]), inner != inner.strip() or (len(s) > 2 and (s[len(opener) - 1:len(opener)].isspace() or s.rstrip("*_`~'=#$>]})|;")[-1:].isspace())),
             sum(c.isdigit() for c in inner) / (len(inner) + 1), known, attributes, start, ends, len(opener.strip()), len(closer),
             opener.strip() == closer[::-1] and bool(closer), s.endswith(";"), "](" in s or "][" in s, left in (":", "\\") or text[n.b:n.b + 1] == "\\", bool(re.match(r"[$]\d", s)), len(inner.split()),
@@ -224,8 +230,13 @@ def _word(r: random.Random, s: str) -> str:
     return r.choice([w for w in s.split() if w.isalpha()] or ["word"])
 
 
-def _marked(r: random.Random, s: str) -> str:
+def _marked(r: random.Random, s: str, plain: list[str]) -> str:
     """A snippet of markup around plain words."""
+    if r.random() < 0.15:  # constructs of any length
+        s, n = " ".join([s, *(r.choice(plain) for _ in range(r.randint(1, 5)))]), r.randint(1, 99)
+        many = " + ".join(f"x_{i}^{n}" for i in range(n % 40 + 3))
+        return r.choice([f"**{s}**", f"*{s}*", f"_{s}_", f"`{s}`", f"~~{s}~~", f"[{s}](https://a.example/{n})", f"![{s}](/{n}.png)", f"[{_word(r, s)}](https://a.example/{'-'.join(s.split())})", f"[[{s}]]", f"{{{{{_word(r, s)}|{s}}}}}", f"'''{s}'''",
+                         f"''{s}''", f"\\textbf{{{s}}}", f"\\footnote{{{s}}}", f"\\emph{{{s}}}", f"${many}$", f"\\[ {many} \\]", f"\\( {many} \\)", f"<div title=\"{s}\">"])
     w, v, n = _word(r, s), _word(r, s), r.randint(1, 99)
     name = r.choice(sorted(TAGS))
     cmd = r.choice(sorted(COMMANDS))
@@ -245,7 +256,7 @@ def _literal(r: random.Random, s: str) -> str:
     """A sentence that uses such signs as themselves."""
     w, v, n, m = _word(r, s), _word(r, s), r.randint(1, 99), r.randint(1, 99)
     return r.choice([
-        f"{w} a < b {v} c > d.", f"{w} {n} < {m} {v}.", f"{w} x > {n} {v} y < {m}.", f"{w.title()}&{v.title()} {w}.", f"R&D {v}.", f"{w} & {v}.", f"${n} {w} {v} ${m} {w}.", f"${n},50 {w}.", f"{n}* {w} {m}* {v}.", f"{w} {n}* {v}.", f"{n}*{m} = {n * m}.",
+        f"{w} a < b {v} c > d.", f"{w} a<b {v} c>d.", f"if a<{w.lower()} and c>{v.lower()} then.", f"{w} x<{n} {v} y>{m}.", f"{w} {n} < {m} {v}.", f"{w} x > {n} {v} y < {m}.", f"{w.title()}&{v.title()} {w}.", f"R&D {v}.", f"{w} & {v}.", f"${n} {w} {v} ${m} {w}.", f"${n},50 {w}.", f"{n}* {w} {m}* {v}.", f"{w} {n}* {v}.", f"{n}*{m} = {n * m}.",
         f"{w}_{v}_{n} {w}.", f"{w.lower()}_final_v{n} {v}.", f"{w.upper()}_{v.upper()} {w}.", f"#{n} {w}.", f"C# {w} F#.", f"{w} x == y {v}.", f"{w} x != y == {n}.", f"[sic] {w}.", f"[...] {w}.", f"[{n}] {w}.", f"{{a, b}} {w}.", f"{{{n}, {m}}} {v}.", f"2^{n} {w}.", f"e^x {v}.",
         f"C:\\{w.lower()}\\{v.lower()} {w}.", f"D:\\{w.lower()}\\new\\{v.lower()}.", f"\\\\{w.lower()}\\{v.lower()} {w}.", f"~{n} km {w}.", f"{w} | {v}.", f"-{n} °C {w}.", f"{n} - {m} {w}.", f"{w}'s {v}s' {w}.", f"'{w}' {v}.", f"\"{w}\" {v}.", f":-) {w}.", f"<3 {w}.", f"{w}/{v} {n}%.", f"({w}) {v}.", f"@{w} {v}.",
     ])
@@ -255,7 +266,7 @@ def train(texts: list[str], seed: int = 7) -> Boosted:
     """Trees fitted on sentences of the texts with markup and literal signs put in by rule."""
     r = random.Random(seed)
     plain = [x for t in texts for x in re.split(r"(?<=[.!?])\s+", t) if 20 < len(x) < 200 and not re.search(r"[<&`*_~#=\[\]|>{}'\\$^]", x)]
-    plain = plain[:3000] or ["The archive keeps a list of plain words.", "The editor checks two short reports in the first section."]
+    plain = plain or ["The archive keeps a list of plain words.", "The editor checks two short reports in the first section."]
     xs, ys = [], []
     for turn in range(900):
         parts: list[tuple[str, bool | None]] = []
@@ -265,11 +276,12 @@ def train(texts: list[str], seed: int = 7) -> Boosted:
             if r.random() < 0.7:
                 mark = some and r.random() < 0.6
                 state = r.getstate()
-                snippet = (_marked if mark else _literal)(r, r.choice(plain))
+                snippet = _marked(r, r.choice(plain), plain) if mark else _literal(r, r.choice(plain))
                 if not mark and r.random() < 0.4:  # the same signs twice on a line may look like a pair
                     again = r.getstate()
+                    gap = [r.choice(plain) for _ in range(r.randint(1, 4))]
                     r.setstate(state)
-                    snippet += f" {r.choice(plain)} " + _literal(r, r.choice(plain))
+                    snippet += f" {' '.join(gap)} " + _literal(r, r.choice(plain))
                     r.setstate(again)
                 parts.append((snippet + r.choice([" ", " ", "\n", ""]), mark))
         text, spans = "", []
@@ -285,6 +297,10 @@ def train(texts: list[str], seed: int = 7) -> Boosted:
     return Boosted(np.concatenate(xs), np.array(ys))
 
 
+_VERBATIM = re.compile(r"<(pre|code|script|style)\b", re.I)
+_CLOSING = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("pre", "code", "script", "style")}
+
+
 # --- decoding -------------------------------------------------------------------------------------
 def decode(text: str | None, model: Boosted) -> list[Node]:
     """Nodes with keep set where they are markup."""
@@ -308,6 +324,7 @@ def decode(text: str | None, model: Boosted) -> list[Node]:
             for n in group:
                 n.p = mean
     closed = -1
+    unclosed: set[str] = set()
     for n in nodes:  # parents come before their children
         if n.a < closed:  # code of an accepted element
             continue
@@ -319,9 +336,11 @@ def decode(text: str | None, model: Boosted) -> list[Node]:
                 blocked = syntax and not (n.kind == "tag" and up.kind in ("wtable", "command")) and not (up.kind == "tag" and n.kind == "entity")
             up = up.parent
         n.keep = not blocked and n.p > 0.5
-        if n.keep and n.kind == "tag" and (m := re.match(r"<(pre|code|script|style)\b", text[n.a:n.b], re.I)):
-            end = re.compile(rf"</{m.group(1)}\s*>", re.I).search(text, n.b)
+        if n.keep and n.kind == "tag" and (m := _VERBATIM.match(text, n.a, n.b)) and (name := m.group(1).lower()) not in unclosed:
+            end = _CLOSING[name].search(text, n.b)
             closed = end.start() if end else closed
+            if not end:
+                unclosed.add(name)
     return nodes
 
 
@@ -337,7 +356,6 @@ _TABLES = {"row", "wtable", "wrow"}
 _WORDS = re.compile(r"<[A-Za-z]\w*(?:\s+\w+)+\s*>")  # "a <b and c> d": words where attributes would be
 _BARE = frozenset("async autofocus autoplay checked controls default defer disabled hidden inert ismap itemscope loop multiple muted nomodule noshade novalidate nowrap open readonly required reversed selected".split())
 _CODE_TAG = re.compile(r"</?code\b", re.I)
-_VERBATIM = re.compile(r"<(pre|code|script|style)\b", re.I)
 
 
 def _hidden(s: str) -> str:
@@ -365,24 +383,28 @@ def literal(text: str, model: Boosted) -> str:
     out = list(text)
     shut = bytearray(len(text))  # signs that kept markup needs
     code: list[Node] = []
-    verbatim: list[tuple[int, int]] = []  # elements whose entities are still read
+    inside: set[int] = set()  # the code nodes and all below them
+    verbatim = bytearray(len(text))  # within elements whose entities are still read
+    unclosed: set[str] = set()
     for n in nodes:
         s = text[n.a:n.b]
         n.keep = (n.keep or _sure(n.kind, s)) and not (n.kind == "tag" and _WORDS.fullmatch(s) and not _BARE.intersection(s.lower().strip("</>").split()))
-        up = n.parent
-        while up is not None and up not in code:
-            up = up.parent
-        if up is not None:
+        if n.parent is not None and id(n.parent) in inside:
             n.keep = False
+            inside.add(id(n))
         elif n.kind == "code" and not text[n.a - 1:n.a].isalnum() and not text[n.b:n.b + 1].isalnum() and s[1:-1] == s[1:-1].strip():
             code.append(n)  # inline code stays whole, whether its ticks are removed or not
+            inside.add(id(n))
         elif n.keep and n.kind in ("code", "fence", "math"):
             code.append(n)
+            inside.add(id(n))
         if not n.keep or n.kind in ("code", "fence", "math"):
             continue
-        if n.kind == "tag" and (m := _VERBATIM.match(s)):
-            end = re.compile(rf"</{m.group(1)}\s*>", re.I).search(text, n.b)
-            verbatim.append((n.b, end.start() if end else n.b))
+        if n.kind == "tag" and (m := _VERBATIM.match(s)) and (name := m.group(1).lower()) not in unclosed and not verbatim[n.a]:
+            if end := _CLOSING[name].search(text, n.b):
+                verbatim[n.b:end.start()] = b"\1" * (end.start() - n.b)
+            else:
+                unclosed.add(name)
         if n.kind in _WHOLE:
             shut[n.a:n.b] = b"\1" * len(s)
         elif n.kind in _TABLES:
@@ -392,8 +414,9 @@ def literal(text: str, model: Boosted) -> str:
             head, tail = len(re.match(r"[\W_]*", s).group()), len(s) - len(re.sub(r"[\W_]*\Z", "", s))
             shut[n.a:n.a + head] = b"\1" * head
             shut[n.b - tail:n.b] = b"\1" * tail
+    own = {id(n) for n in code}
     for n in nodes:
-        if not n.keep and n not in code and not (any(a <= n.a < b for a, b in verbatim) and (n.kind == "entity" or _CODE_TAG.match(text, n.a))):
+        if not n.keep and id(n) not in own and not (verbatim[n.a] and (n.kind == "entity" or _CODE_TAG.match(text, n.a))):
             for i in range(n.a, n.b):
                 if not shut[i] and text[i] != "\n":
                     out[i] = _hidden(text[i])
@@ -444,7 +467,7 @@ def blocks(text: str | None, model: Boosted | None = None) -> list[tuple[str, in
         text = literal(text, model)
     text = re.sub(r"<pre[^>]*>(?:<code[^>]*>)?(.*?)(?:</code>)?</pre>", lambda m: f"\n```\n{_lines(html.unescape(m.group(1)))}\n```\n", text, flags=re.S | re.I)
     text = re.sub(r"\\begin\{(?:verbatim|lstlisting)\}(.*?)\\end\{(?:verbatim|lstlisting)\}", lambda m: f"\n```\n{_lines(m.group(1))}\n```\n", text, flags=re.S)
-    text = re.sub(r"\\\[(.{1,400}?)\\\]|\$\$([^$]{1,300})\$\$", lambda m: f"\n\x02{(m.group(1) or m.group(2)).strip()}\n", text, flags=re.S)
+    text = re.sub(r"\\\[((?:(?!\\\[).)+?)\\\]|\$\$([^$]+)\$\$", lambda m: f"\n\x02{(m.group(1) or m.group(2)).strip()}\n", text, flags=re.S)
     text = re.sub(r"<h([1-6])[^>]*>(.*?)</h[1-6]>", lambda m: "\n" + "#" * int(m.group(1)) + " " + re.sub(r"\s+", " ", m.group(2)) + "\n", text, flags=re.S | re.I)
     text = re.sub(r"\\((?:sub)*)section\*?\{([^{}]*)\}", lambda m: "\n" + "#" * (2 + len(m.group(1)) // 3) + f" {m.group(2)}\n", text)
     text = re.sub(r"<li[^>]*>", "\n- ", text, flags=re.I)

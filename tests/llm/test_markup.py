@@ -28,7 +28,7 @@ def test_held_out_accuracy(model):
     right = total = 0
     for _ in range(400):
         mark = r.random() < 0.5
-        s = (markup._marked if mark else markup._literal)(r, r.choice(PLAIN))
+        s = markup._marked(r, r.choice(PLAIN), PLAIN) if mark else markup._literal(r, r.choice(PLAIN))
         total += 1
         right += bool(markup.families(f"{r.choice(PLAIN)} {s} {r.choice(PLAIN)}", model)) == mark
     assert right / total > 0.93
@@ -75,3 +75,28 @@ def test_flat_trees_agree(model):
     for t in model.trees:
         f += markup.RATE * model._apply(t, x)
     assert np.allclose(model.predict(x), 1 / (1 + np.exp(-f)))
+
+
+def test_constructs_of_any_length(model):
+    for k in (1, 20, 200):
+        w = " ".join([PLAIN[0][:-1]] * k)
+        for t, want in ((f"See **{w}** here.", "markdown"), (f"See [it](https://a.example/{w.replace(' ', '-')}) now.", "markdown"), (f"The `{w}` here.", "markdown"), (f"The {{{{Infobox|{w}}}}} here.", "wiki"), (f"\\textbf{{{w}}} is here.", "latex")):
+            assert markup.families(t, model) == [want], (k, t[:40])
+
+
+def test_literal_signs_survive_cleaning(model):
+    for t in ("It is so if a<b and c>d then stop.", "Use `{{name}}` in the file."):
+        assert markup.clean(t, model) in (t, t.replace("`", "")), t
+    assert "{{name}}" in markup.clean("Use `{{name}}` in the file.", model)
+
+
+def test_time_is_linear_in_the_text(model):
+    import time
+
+    for unit in ("$a \\[ ", "**a ", "<code> a ", "[a](b ", "((`a "):
+        took = []
+        for n in (2000, 8000):
+            began = time.process_time()
+            markup.clean(unit * n, model)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5, unit
