@@ -17,12 +17,17 @@ from quillspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_LATER: dict[str, Callable[[], str]] = {}
 
 
-def query(fn: Callable | None = None, *, sql: str | None = None):  # noqa: ANN201
+def query(fn: Callable | None = None, *, sql: str | Callable[[], str] | None = None):  # noqa: ANN201
+    """Registers a query, with its SQL or a function that writes it once the whole module is read."""
+
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
-        if sql:
+        if callable(sql):
+            _LATER[f.__name__] = sql
+        elif sql:
             ORACLES[f.__name__] = sql
         return f
 
@@ -30,6 +35,79 @@ def query(fn: Callable | None = None, *, sql: str | None = None):  # noqa: ANN20
 
 
 _TOK = TOKEN.replace("'", "''")
+_FA, _FB = "".join(c for _, c in FOLDS), "".join(b * len(c) for b, c in FOLDS)
+_EN_KNOWN = " ".join(f"WHEN s = '{w}' THEN {n}" for w, n in SYLLABLES_EN.items())
+
+
+#: White space, closing and opening signs, abbreviations and the words of the language vote, as the SQL states them by itself (fixed values).
+_WS = r"[ \t\n\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_CLOSE_SQL, _OPEN_SQL = r"[\x{22}\x{27}’”“»«›)\]}*_]", r"[\x{22}\x{27}‘“„«»‹(\[{\x{2d}–—*#>•]"
+_ABBREVIATED = """
+mr mrs ms dr prof st jr sr vs etc inc ltd co corp dept approx fig no vol univ ave blvd rd est min max sec al ed eds cf ibid jan feb mar apr jun jul aug sep sept oct nov dec
+bzw ca usw evtl inkl exkl nr abb hr fr ggf ggfs vgl bspw mio mrd jh jhd str bzgl sog tel dt engl geb gest kap bes allg urspr insb zzgl mind hrsg anm bsp tsd mtl jhrl versch entspr
+"""
+_VOTE_DE = """
+der die das den dem des ein eine einen einem einer eines und oder aber auch noch nur schon nicht ist sind sein seine ihre haben hatte hatten werden wird wurde wurden mit von zu zum zur auf für aus bei nach über unter vor durch
+gegen ohne um im beim vom als dass daß weil wenn dann sich ich du er sie es wir uns euch mich dich ihm ihn ihnen kann können muss müssen soll sollen wollen sehr mehr wie was wer wo hier dort diese dieser dieses jede jeden
+alle alles heute immer wieder zwischen bis nun etwa dabei damit dazu doch nichts seit sowie viele einige zwar deshalb jedoch
+"""
+_VOTE_EN = """
+the of and to a is it that for on are as with be at this have from or by not but what all were we when there can which do how out about many then them some would like into time has more see could people than been who now find
+down did get come made may over new take only work know year most very after our just think say where through much before too right any same want also well must even because here why ask need home again off play life always
+both together group often until without second later idea enough real almost above while might next open begin still should world high every near own last never start under they their there's you your his her him she its
+"""
+
+
+def _list(words: str) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words.split()) + ")"
+
+
+def _syllables_sql(source: str, prefix: str = "") -> str:
+    """CTEs from words of a source to table counted, which has syllables_en and syllables_de beside its columns."""
+    return f"""
+f AS (SELECT *, regexp_replace(regexp_replace(translate(lower(word), '{_FA}', '{_FB}'), '[^\\p{{L}}]', '', 'g'), '[^a-z]', 'x', 'g') AS s FROM {source}),
+v AS (SELECT *, regexp_replace(s, '^y', 'x') AS v, regexp_extract_all(replace(s, 'qu', 'q'), 'a[uiya]|e[uiye]|ie|oo|[aeiouy]') AS g FROM f),
+n AS (SELECT *, len(regexp_extract_all(v, '[aeiouy]+')) AS n FROM v),
+counted AS (SELECT *,
+ (CASE WHEN s = '' THEN 1 {_EN_KNOWN} ELSE greatest(1, n
+   + CASE WHEN length(s) >= 4 AND n >= 2 AND regexp_matches(v, '[^aeiouy](ea|ia|io)$') THEN 1 ELSE 0 END
+   - CASE WHEN length(s) >= 3 AND ((regexp_matches(v, '[^aeiouy]e$') AND NOT regexp_matches(v, '[^aeiouy]le$'))
+       OR (regexp_matches(v, '[^aeiouy]es$') AND NOT regexp_matches(v, '[^aeiouy]les$|[sxzcgj]es$|[cs]hes$'))
+       OR (regexp_matches(v, '[^aeiouytd]ed$') AND NOT regexp_matches(v, '[^aeiouy]led$'))) THEN 1 ELSE 0 END) END)::INT AS syllables_en,
+ greatest(1, len(g) + CASE WHEN length(s) >= 6 AND s LIKE '%ien' AND g[-1] = 'ie' THEN 1 ELSE 0 END)::INT AS syllables_de FROM n)"""
+
+
+def _tokens_sql(table_: str, key: str, select: str) -> str:
+    """A query over table told: the tokens of every text with language, sentence, place and syllables."""
+    return f"""
+WITH src AS (SELECT {key}, text FROM {table_} WHERE text IS NOT NULL),
+piece AS (SELECT {key}, text, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM (SELECT {key}, text, regexp_extract_all(text, '[.!?…]+|\n{_WS}*|[^.!?…\n]+') AS pieces FROM src)),
+placed AS (SELECT *, (sum(length(piece)) OVER (PARTITION BY {key} ORDER BY k))::BIGINT AS e FROM piece),
+around AS (SELECT {key}, piece, e, substr(text, 1, e - length(piece)) AS l, substr(text, e + 1) AS r FROM placed WHERE regexp_matches(piece, '^[.!?…\n]')),
+tail AS (SELECT *, regexp_extract(l, '[\\p{{L}}\\p{{Nd}}.]*$') AS w, length(regexp_extract(r, '^{_CLOSE_SQL}*')) AS c FROM around),
+follow AS (SELECT *, substr(r, c + 1) AS rest FROM tail),
+cut AS (SELECT {key}, CASE WHEN piece[1] = chr(10) THEN e ELSE e + c END AS pos FROM follow WHERE CASE WHEN piece[1] = chr(10) THEN length(piece) - length(replace(piece, chr(10), '')) >= 2 ELSE
+  (piece <> '.' OR CASE WHEN regexp_matches(l, '\\p{{Nd}}$') THEN regexp_matches(l, '\\p{{Nd}}{{3}}$') WHEN w = '' THEN true WHEN contains(w, '.') OR length(w) = 1 THEN false ELSE lower(w) NOT IN {_list(_ABBREVIATED)} END)
+  AND (rest = '' OR regexp_matches(rest, '^{_WS}+{_OPEN_SQL}*($|[^\\p{{Ll}}])') AND NOT regexp_matches(rest, '^{_WS}+{_OPEN_SQL}*\\p{{Ll}}')) END),
+cutlist AS (SELECT {key}, list_sort(list(DISTINCT pos)) AS cuts FROM cut GROUP BY {key}),
+split AS (SELECT {key}, text, regexp_extract_all(text, '{_TOK}') AS t, regexp_split_to_array(text, '{_TOK}') AS gaps FROM src),
+tok AS (SELECT {key}, text, unnest(t) AS word, generate_subscripts(t, 1) AS idx, gaps FROM split WHERE len(t) > 0),
+tokp AS (SELECT {key}, text, word, idx, gaps[idx] AS gap, (sum(length(gaps[idx]) + length(word)) OVER (PARTITION BY {key} ORDER BY idx) - length(word))::BIGINT AS pos FROM tok),
+vote AS (SELECT {key}, count(*) AS n, sum((lower(word) IN {_list(_VOTE_DE)})::INT + 2 * regexp_matches(word, '[äöüÄÖÜß]')::INT + 1.5 * (strlen(lower(word)) >= 6 AND regexp_matches(lower(word), '(ung|keit|heit|schaft|lich|isch|chen|tät|ungen|nisse)$'))::INT) AS de,
+  sum((lower(word) IN {_list(_VOTE_EN)})::INT + (strlen(lower(word)) >= 5 AND regexp_matches(lower(word), '(ing|ly)$'))::INT + (contains(lower(word), 'n''t') OR regexp_matches(lower(word), '[''’]s$'))::INT) AS en,
+  sum((idx > 1 AND regexp_matches(word, '^\\p{{Lu}}') AND regexp_matches(word, '\\p{{Ll}}') AND NOT regexp_matches(gap, '[.!?…\n:]'))::INT) AS caps FROM tokp WHERE idx <= 2000 GROUP BY {key}),
+lang AS (SELECT {key}, CASE WHEN de + CASE WHEN n >= 5 AND de > 0 THEN 0.4 * caps ELSE 0 END > en THEN 'de' ELSE 'en' END AS language FROM vote),
+{_syllables_sql("(SELECT DISTINCT word FROM tok)")},
+seg AS (SELECT tokp.*, cuts, len(list_filter(coalesce(cuts, []), lambda x: x <= pos)) AS seg FROM tokp LEFT JOIN cutlist USING ({key})),
+told AS (SELECT seg.*, language, syllables_en, syllables_de, dense_rank() OVER (PARTITION BY {key} ORDER BY seg) AS sent FROM seg JOIN lang USING ({key}) JOIN counted USING (word))
+""" + select.replace("{ws}", _WS)
+
+
+_COUNTS_SQL = """
+, c AS (SELECT doc_id, any_value(language) AS language, count(DISTINCT sent) AS sentences, count(*) AS words, sum(syl) AS syllables, sum(ch) AS characters, count(*) FILTER (syl >= 3) AS polysyllabic_words,
+ count(*) FILTER (syl = 1) AS monosyllabic_words, count(*) FILTER (ch > 6) AS long_words
+ FROM (SELECT *, CASE WHEN language = 'de' THEN syllables_de ELSE syllables_en END AS syl, length(regexp_replace(word, '[^\\p{L}\\p{Nd}]', '', 'g')) AS ch FROM told) GROUP BY doc_id)
+"""
 
 
 # --- text analysis over documents -------------------------------------------------------------
@@ -43,16 +121,46 @@ def readability_scores(spark: SparkSession, d: str) -> DataFrame:
     return readability.scores(document_stats(spark, d), keep=["doc_id", "language"]).select("doc_id", "language", "metric", "score", "level", "direction", "note")
 
 
-@query
+@query(sql=_tokens_sql("split_texts", "text_id", """
+, s AS (SELECT text_id, text, sent, count(*)::INT AS words, min(coalesce(cuts[seg], 0)) AS a, min(coalesce(cuts[seg + 1], length(text))) AS b FROM told GROUP BY text_id, text, sent),
+r AS (SELECT *, substr(text, a + 1, b - a) AS raw FROM s), q AS (SELECT *, regexp_replace(regexp_replace(raw, '^{ws}+', ''), '{ws}+$', '') AS sent_text, strlen(substr(text, 1, a)) + strlen(regexp_extract(raw, '^{ws}*')) AS st FROM r)
+SELECT text_id, sent::INT AS sent, sent_text, st::BIGINT AS "start", (st + strlen(sent_text))::BIGINT AS "end", words FROM q
+"""))
 def sentence_table(spark: SparkSession, d: str) -> DataFrame:
     return analyze.sentences(spread(table(spark, d, "split_texts")), "text_id")
 
 
-@query
+@query(sql=_tokens_sql("split_texts", "text_id", """
+SELECT text_id, sent::INT AS sent, idx::INT AS idx, word, lower(word) AS lower, length(word)::INT AS runes, (CASE WHEN language = 'de' THEN syllables_de ELSE syllables_en END)::INT AS syllables,
+ strlen(substr(text, 1, pos))::BIGINT AS "start", strlen(substr(text, 1, pos + length(word)))::BIGINT AS "end" FROM told
+"""))
 def token_table(spark: SparkSession, d: str) -> DataFrame:
     return analyze.tokens(spread(table(spark, d, "split_texts")), "text_id")
 
 
+@query(sql=_tokens_sql("documents", "doc_id", _COUNTS_SQL + """
+SELECT d.doc_id, coalesce(c.language, 'en') AS language, true AS detected, coalesce(sentences, 0)::BIGINT AS sentences, coalesce(words, 0)::BIGINT AS words, coalesce(syllables, 0)::BIGINT AS syllables, coalesce(characters, 0)::BIGINT AS characters,
+ coalesce(polysyllabic_words, 0)::BIGINT AS polysyllabic_words, coalesce(monosyllabic_words, 0)::BIGINT AS monosyllabic_words, coalesce(long_words, 0)::BIGINT AS long_words
+FROM documents d LEFT JOIN c USING (doc_id)
+"""))
+def text_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of the texts as they stand, nothing stripped."""
+    return analyze.analyze(spread(table(spark, d, "documents").select("doc_id", "text")), "text").drop("text", "avg_sentence_length", "avg_syllables_per_word", "avg_word_length")
+
+
+@query(sql=lambda: _tokens_sql("documents", "doc_id", _COUNTS_SQL + "SELECT doc_id, metric, score, level, grade FROM (" + _metric_sql("c", "doc_id") + ")"))
+def text_scores(spark: SparkSession, d: str) -> DataFrame:
+    return readability.scores(text_stats(spark, d), keep=["doc_id"]).select("doc_id", "metric", "score", "level", "grade")
+
+
+@query(sql=lambda: _tokens_sql("documents", "doc_id", _COUNTS_SQL + f"""
+, m AS ({_metric_sql("c", "doc_id")}), j AS (SELECT doc_id, bool_or(metric IN ('flesch', 'amstad', 'lix')) AS judged, bool_or(metric IN ('flesch', 'amstad') AND score < 30 OR metric = 'lix' AND score > 60) AS failing FROM m GROUP BY doc_id)
+SELECT count(*) AS documents, count(*) FILTER (judged) AS judged, count(*) FILTER (failing) AS failing, count(*) FILTER (judged) > 0 AND count(*) FILTER (failing) = 0 AS passed FROM j
+"""))
+def text_gate(spark: SparkSession, d: str) -> DataFrame:
+    return readability.gate_verdict(text_scores(spark, d), "doc_id", under={"flesch": 30.0, "amstad": 30.0}, over={"lix": 60.0})
+
+
 @query
 def lint_findings(spark: SparkSession, d: str) -> DataFrame:
     return lint.lint(spread(table(spark, d, "documents")))
@@ -90,23 +198,9 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
         F.size(F.filter("t", lambda w: native.characters(w) > 6)).alias("long_words"))
 
 
-_FA, _FB = "".join(c for _, c in FOLDS), "".join(b * len(c) for b, c in FOLDS)
-_EN_KNOWN = " ".join(f"WHEN s = '{w}' THEN {n}" for w, n in SYLLABLES_EN.items())
-
-
 @query(sql=f"""
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(abstract, '{_TOK}')) AS word FROM papers),
-f AS (SELECT word, regexp_replace(regexp_replace(translate(lower(word), '{_FA}', '{_FB}'), '[^\\p{{L}}]', '', 'g'), '[^a-z]', 'x', 'g') AS s FROM w),
-v AS (SELECT *, regexp_replace(s, '^y', 'x') AS v, regexp_extract_all(replace(s, 'qu', 'q'), 'a[uiya]|e[uiye]|ie|oo|[aeiouy]') AS g FROM f),
-n AS (SELECT *, len(regexp_extract_all(v, '[aeiouy]+')) AS n FROM v)
-SELECT word,
- (CASE WHEN s = '' THEN 1 {_EN_KNOWN} ELSE greatest(1, n
-   + CASE WHEN length(s) >= 4 AND n >= 2 AND regexp_matches(v, '[^aeiouy](ea|ia|io)$') THEN 1 ELSE 0 END
-   - CASE WHEN length(s) >= 3 AND ((regexp_matches(v, '[^aeiouy]e$') AND NOT regexp_matches(v, '[^aeiouy]le$'))
-       OR (regexp_matches(v, '[^aeiouy]es$') AND NOT regexp_matches(v, '[^aeiouy]les$|[sxzcgj]es$|[cs]hes$'))
-       OR (regexp_matches(v, '[^aeiouytd]ed$') AND NOT regexp_matches(v, '[^aeiouy]led$'))) THEN 1 ELSE 0 END) END)::INT AS syllables_en,
- greatest(1, len(g) + CASE WHEN length(s) >= 6 AND s LIKE '%ien' AND g[-1] = 'ie' THEN 1 ELSE 0 END)::INT AS syllables_de
-FROM n
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(abstract, '{_TOK}')) AS word FROM papers),{_syllables_sql("w")}
+SELECT word, syllables_en, syllables_de FROM counted
 """)
 def word_syllables(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "papers").select(F.explode(native.tokens("abstract")).alias("word")).distinct()
@@ -150,44 +244,52 @@ _STATS = f"(SELECT *, {_LANG} AS language FROM paper_stats WHERE words > 0 AND s
 
 def _round(x: str, p: int = 1) -> str:
     f = float(10**p)
-    return f"(CASE WHEN ({x}) * {f} < 0 THEN -floor(-(({x}) * {f}) + 0.5) ELSE floor(({x}) * {f} + 0.5) END / {f})"
-
-
-def _bands(s: str, edges: tuple, levels: tuple, op: str) -> str:
-    return "CASE " + " ".join(f"WHEN {s} {op} {e} THEN '{v}'" for e, v in zip(edges, levels)) + f" ELSE '{levels[-1]}' END"
+    return f"(CASE WHEN ({x}) * {f} < 0 THEN -floor(-(({x}) * {f}) + 0.5) ELSE floor(({x}) * {f} + 0.5) END / {f} + 0.0)"
 
 
 _ASL, _ASW, _AWL = "words::DOUBLE / sentences::DOUBLE", "syllables::DOUBLE / words::DOUBLE", "characters::DOUBLE / words::DOUBLE"
 _MS, _IW, _ES = ("100 * {}::DOUBLE / words::DOUBLE".format(c) for c in ("polysyllabic_words", "long_words", "monosyllabic_words"))
-_EASE = lambda levels: _bands("least(100.0, greatest(0.0, score))", readability.EASE_EDGES, levels, ">=")
-_GRADE = _bands("score", readability.GRADE_EDGES, readability.GRADE, "<=")
-_WSTF = "CASE WHEN score < 4 THEN 'unter der Skala' WHEN score > 15 THEN 'über der Skala' ELSE " + _bands("score", readability.WSTF_EDGES, readability.WSTF, "<=") + " END"
+#: Bands as the SQL states them by itself (fixed values): test, level, grade.
+_FLESCH_SQL = [(90, "very easy", "5th grade"), (80, "easy", "6th grade"), (70, "fairly easy", "7th grade"), (60, "standard", "8th–9th grade"), (50, "fairly difficult", "10th–12th grade"), (30, "difficult", "college"), (None, "very confusing", "college graduate")]
+_AMSTAD_SQL = [(90, "sehr leicht", "4th grade"), (80, "leicht", "5th–6th grade"), (70, "mittelleicht", "7th grade"), (60, "mittel", "8th–9th grade"), (50, "mittelschwer", "10th–12th grade"), (30, "schwer", "Studium"), (None, "sehr schwer", "akademisch")]
+_US_SQL = [(6, "very easy", "elementary school (up to 6th grade)"), (9, "easy", "middle school (7th–9th grade)"), (12, "medium", "high school (10th–12th grade)"), (16, "difficult", "college"), (None, "very difficult", "college graduate")]
+_WSTF_SQL = [(6, "sehr leicht", "4.–6. Schulstufe"), (8, "leicht", "6.–8. Schulstufe"), (10, "mittel", "8.–10. Schulstufe"), (12, "schwer", "10.–12. Schulstufe"), (None, "sehr schwer", "Studium")]
+_LIX_SQL = [(25, "very easy", "children''s literature"), (35, "easy", "fiction, popular press"), (45, "medium", "normal prose"), (55, "difficult", "technical, non-fiction"), (None, "very difficult", "academic")]
+
+
+def _bands(bands: list[tuple], op: str, outside: tuple[str, str] = ("", "")) -> tuple[str, str]:
+    """(level, grade) of column score."""
+    return tuple("CASE " + outside[k] + " ".join(f"WHEN score {op} {b[0]} THEN '{b[1 + k]}'" if b[0] is not None else f"ELSE '{b[1 + k]}'" for b in bands) + " END" for k in (0, 1))  # type: ignore[return-value]
+
+
+_EASE_EN, _EASE_DE, _US, _LIX = _bands(_FLESCH_SQL, ">="), _bands(_AMSTAD_SQL, ">="), _bands(_US_SQL, "<="), _bands(_LIX_SQL, "<")
+_WSTF = _bands(_WSTF_SQL, "<=", ("WHEN score < 4 THEN 'unter der Skala' WHEN score > 15 THEN 'über der Skala' ", "WHEN score < 4 THEN 'unter der 4. Schulstufe' WHEN score > 15 THEN 'über der 12. Schulstufe' "))
 _FORMULAS = {
-    "flesch": ("en", f"206.835 - 1.015 * ({_ASL}) - 84.6 * ({_ASW})", _EASE(readability.FLESCH), "higher_is_easier"),
-    "amstad": ("de", f"180 - ({_ASL}) - 58.5 * ({_ASW})", _EASE(readability.AMSTAD), "higher_is_easier"),
-    "flesch-kincaid": ("en", f"0.39 * ({_ASL}) + 11.8 * ({_ASW}) - 15.59", _GRADE, "lower_is_easier"),
-    "gunning-fog": ("en", f"0.4 * (({_ASL}) + {_MS})", _GRADE, "lower_is_easier"),
-    "smog": ("en", "1.0430 * sqrt(polysyllabic_words::DOUBLE * 30 / sentences::DOUBLE) + 3.1291", _GRADE, "lower_is_easier"),
-    "coleman-liau": ("en", f"0.0588 * (100 * ({_AWL})) - 0.296 * (100 * sentences::DOUBLE / words::DOUBLE) - 15.8", _GRADE, "lower_is_easier"),
-    "ari": ("en", f"4.71 * ({_AWL}) + 0.5 * ({_ASL}) - 21.43", _GRADE, "lower_is_easier"),
+    "flesch": ("en", f"206.835 - 1.015 * ({_ASL}) - 84.6 * ({_ASW})", _EASE_EN, "higher_is_easier"),
+    "amstad": ("de", f"180 - ({_ASL}) - 58.5 * ({_ASW})", _EASE_DE, "higher_is_easier"),
+    "flesch-kincaid": ("en", f"0.39 * ({_ASL}) + 11.8 * ({_ASW}) - 15.59", _US, "lower_is_easier"),
+    "gunning-fog": ("en", f"0.4 * (({_ASL}) + {_MS})", _US, "lower_is_easier"),
+    "smog": ("en", "1.0430 * sqrt(polysyllabic_words::DOUBLE * 30 / sentences::DOUBLE) + 3.1291", _US, "lower_is_easier"),
+    "coleman-liau": ("en", f"0.0588 * (100 * ({_AWL})) - 0.296 * (100 * sentences::DOUBLE / words::DOUBLE) - 15.8", _US, "lower_is_easier"),
+    "ari": ("en", f"4.71 * ({_AWL}) + 0.5 * ({_ASL}) - 21.43", _US, "lower_is_easier"),
     "wstf1": ("de", f"0.1935 * ({_MS}) + 0.1672 * ({_ASL}) + 0.1297 * ({_IW}) - 0.0327 * ({_ES}) - 0.875", _WSTF, "lower_is_easier"),
     "wstf2": ("de", f"0.2007 * ({_MS}) + 0.1682 * ({_ASL}) + 0.1373 * ({_IW}) - 2.779", _WSTF, "lower_is_easier"),
     "wstf3": ("de", f"0.2963 * ({_MS}) + 0.1905 * ({_ASL}) - 1.1144", _WSTF, "lower_is_easier"),
     "wstf4": ("de", f"0.2744 * ({_MS}) + 0.2656 * ({_ASL}) - 1.693", _WSTF, "lower_is_easier"),
-    "lix": (None, f"({_ASL}) + {_IW}", _bands("score", readability.LIX_EDGES, readability.LIX, "<"), "lower_is_easier"),
+    "lix": (None, f"({_ASL}) + {_IW}", _LIX, "lower_is_easier"),
 }
 
 
 def _metric_sql(source: str, key: str, names: list[str] | None = None) -> str:
     return " UNION ALL ".join(
-        f"SELECT {key}, language, '{m}' AS metric, score, {level} AS level, '{way}' AS direction FROM (SELECT {key}, language, {_round(x)} AS score FROM {source} WHERE {f'language = {lang!r}' if lang else 'true'})"
+        f"SELECT {key}, language, '{m}' AS metric, score, {level[0]} AS level, {level[1]} AS grade, '{way}' AS direction FROM (SELECT {key}, language, {_round(x)} AS score FROM {source} WHERE {f'language = {lang!r}' if lang else 'true'})"
         for m, (lang, x, level, way) in _FORMULAS.items() if not names or m in names
     )
 
 
 @query(sql=_metric_sql(_STATS, "paper_id"))
 def metrics_from_stats(spark: SparkSession, d: str) -> DataFrame:
-    return readability.scores(_paper_stats(spark, d), keep=["paper_id", "language"]).select("paper_id", "language", "metric", "score", "level", "direction")
+    return readability.scores(_paper_stats(spark, d), keep=["paper_id", "language"]).select("paper_id", "language", "metric", "score", "level", "grade", "direction")
 
 
 @query(sql=f"SELECT paper_id, metric, score FROM ({_metric_sql(_STATS, 'paper_id')}) WHERE (metric = 'flesch' AND score < 40) OR (metric = 'amstad' AND score < 40) OR (metric = 'lix' AND score > 55)")
@@ -372,3 +474,6 @@ def first_events(spark: SparkSession, d: str) -> DataFrame:
     """First of each kind a user: the batch form of the stream's de-duplication."""
     e = table(spark, d, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("_at"))
     return e.groupBy("user_id", "event_type").agg(F.min("_at").alias("_at")).select("_at.event_id", "_at.ts", "user_id", "event_type")
+
+
+ORACLES |= {k: make() for k, make in _LATER.items()}
