@@ -95,7 +95,7 @@ def test_time_is_linear_in_the_text(model):
 
     for unit in ("$a \\[ ", "**a ", "<code> a ", "[a](b ", "((`a "):
         took = []
-        for n in (2000, 8000):
+        for n in (500, 2000):
             began = time.process_time()
             markup.clean(unit * n, model)
             took.append(time.process_time() - began)

@@ -49,7 +49,7 @@ def test_time_is_linear_in_the_text():
 
     for unit in ("( a ] b ", "a.", "(a. ", "“A b. ", "Am 12. Mai. ", "# a\n", "Wort.Wort", '"A b." c '):
         took = []
-        for n in (20_000, 80_000):
+        for n in (4_000, 16_000):
             began = time.process_time()
             s.spans(unit * n)
             took.append(time.process_time() - began)
