@@ -18,8 +18,8 @@ def readability(df: DataFrame, id_col: str = "id", text_col: str = "text", metri
     """Metric rows of documents, with the statistics beside them if asked."""
     readability_.resolve(metrics, None if lang == "auto" else lang)
     s = analyze_.analyze(df.select(id_col, text_col), text_col, lang, strip)
-    scored = readability_.scores(s, metrics, [id_col, "language", "detected"])
-    return scored.join(s.drop(text_col, "language", "detected"), id_col) if stats else scored
+    kept = [c for c in s.columns if c != text_col] if stats else [id_col, "language", "detected"]
+    return readability_.scores(s, metrics, kept)
 
 
 def lint(df: DataFrame, id_col: str = "id", text_col: str = "text", rules: list[str] | None = None, severity: str = "info", lang: str = "auto", config: lint_.Config | None = None, strip: str = "auto") -> DataFrame:
@@ -58,12 +58,18 @@ def enrich(df: DataFrame, articles: DataFrame) -> DataFrame:
     return entities_.enrich(df, articles)
 
 
-def sentiment(df: DataFrame) -> DataFrame:
-    """Labels of rows with score and magnitude."""
-    return entities_.label_sentiment(df)
+def sentiment(df: DataFrame, provider: remote.EntityProvider | None = None, id_col: str = "id", text_col: str = "text", lang: str | None = None) -> DataFrame:
+    """Score, magnitude and label of documents by a provider; without one, labels of rows that have score and magnitude."""
+    if provider is None:
+        return entities_.label_sentiment(df)
+    return entities_.parse_sentiment(remote.ask_provider(df, provider, "sentiment", id_col, text_col, lang))
 
 
-def classify(df: DataFrame, least: float = 0.0, top: int = 0) -> DataFrame:
+def classify(df: DataFrame, least: float = 0.0, top: int = 0, provider: remote.EntityProvider | None = None, id_col: str = "id", text_col: str = "text", lang: str | None = None) -> DataFrame:
+    """Ranked categories of documents with words enough, by a provider; without one, of rows that have doc, name and confidence."""
+    if provider is not None:
+        answers = remote.ask_provider(entities_.classifiable(df, text_col), provider, "categories", id_col, text_col, lang)
+        df = entities_.parse_categories(answers.where(F.col("error").isNull()).select(F.col(id_col).alias("doc"), "response"))
     return entities_.categories(df, least, top)
 
 
@@ -87,6 +93,22 @@ def papers(queries: DataFrame, source: remote.Literature, limit: int = 10, **fil
     return remote.search_papers(queries, source, limit, **filters)
 
 
+def related(papers_: DataFrame, source: remote.Literature, relation: str = "similar", limit: int = 10) -> DataFrame:
+    return remote.related_papers(papers_, source, relation, limit)
+
+
+def inspect(papers_: DataFrame, source: remote.Literature) -> DataFrame:
+    return remote.inspect_papers(papers_, source)
+
+
+def tools(queries: DataFrame, source: remote.DataTools, limit: int = 10) -> DataFrame:
+    return remote.find_tools(queries, source, limit)
+
+
+def run_tool(calls: DataFrame, source: remote.DataTools, tool: str) -> DataFrame:
+    return remote.run_tool(calls, source, tool)
+
+
 def read_workspace(df: DataFrame, tab: str | None = None, markdown: bool = True) -> DataFrame:
     return workspace.read_documents(df, tab=tab, markdown=markdown)
 

@@ -149,9 +149,9 @@ def preferred_id(ids: Col) -> Column:
 
 
 def tool_id(identifier: Col) -> Column:
-    """provider/capability in lower case; null if malformed."""
+    """provider/capability in lower case, of at most 200 characters each; null if malformed."""
     x = F.lower(F.trim(_c(identifier)))
-    return F.when(x.rlike(r"^[a-z0-9][a-z0-9._-]*/[a-z0-9][a-z0-9._/-]*$"), x)
+    return F.when(x.rlike(r"^[a-z0-9][a-z0-9._-]{0,199}/[a-z0-9][a-z0-9/._-]{0,199}$"), x)
 
 
 def redacted(secret: Col) -> Column:

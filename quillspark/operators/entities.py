@@ -87,21 +87,30 @@ def aggregate(df: DataFrame) -> DataFrame:
     return got.select("name", "type", rounded("_sum", 4).alias("salience"), rounded(F.col("_sum") / F.col("documents"), 4).alias("avg_salience"), "mentions", "documents", *links)
 
 
-def enrich(entities: DataFrame, articles: DataFrame, limit: int = 1_000_000) -> DataFrame:
+def enrich(entities: DataFrame, articles: DataFrame, limit: int = 32 << 20) -> DataFrame:
     """Articles left-joined on language and canonical title from the entity's address; each key is looked up once.
 
-    The reference data is broadcast only when a count finds at most limit articles; beyond that the join is by keys.
+    The reference data is broadcast only when its texts have at most limit bytes; beyond that the join is by keys.
     """
     keyed = entities.withColumns({"_lang": native.article_url_language("wikipedia_url"), "_title": native.article_url_title("wikipedia_url")})
     base = articles.select(native.article_language("lang").alias("_lang"), native.canonical_title("title").alias("_title"), F.struct(*articles.columns).alias("article"))
     base = base.groupBy("_lang", "_title").agg(F.min("article").alias("article"))
-    if base.limit(limit + 1).count() <= limit:
+    size = base.agg(F.coalesce(F.sum(F.octet_length(F.to_json("article")) + 64), F.lit(0))).first()[0]
+    if size <= limit:
         return keyed.join(F.broadcast(base), ["_lang", "_title"], "left").drop("_lang", "_title")
     # rows without an address match nothing: kept out of the shuffle, where they would all meet in one partition
     found = keyed.where("_title is not null").join(base, ["_lang", "_title"], "left").drop("_lang", "_title")
     return found.unionByName(keyed.where("_title is null").drop("_lang", "_title"), allowMissingColumns=True)
 
 
+def put_cached(cache: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    """The cache with new entries (key, payload, ttl_seconds) put at now: the last put of a key stands, entries past their time are left out."""
+    live = cache.where(native.fresh("cached_at", "ttl_seconds", now)).select("key", "payload", "cached_at", "ttl_seconds", F.lit(0).alias("_new"))
+    put = entries.where("key is not null and payload is not null and ttl_seconds > 0").select("key", "payload", now.cast("timestamp").alias("cached_at"), "ttl_seconds", F.lit(1).alias("_new"))
+    last = live.unionByName(put).groupBy("key").agg(F.max_by(F.struct("payload", "cached_at", "ttl_seconds"), F.struct("cached_at", "_new", "payload")).alias("_e"))
+    return last.select("key", "_e.*")
+
+
 def split_cached(requests: DataFrame, cache: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(hits with payload, misses) of requests with a key against entries key, cached_at, ttl_seconds, payload."""
     live = cache.where(native.fresh("cached_at", "ttl_seconds", now))
@@ -144,6 +153,27 @@ def parse_response(df: DataFrame, json_col: str = "response") -> DataFrame:
     return with_links(rows).withColumn("mentions", mention_total(F.col("mention_count"), F.col("mention_list")))
 
 
+SENTIMENT_JSON = "documentSentiment struct<score:double,magnitude:double>, languageCode string, language string, sentences array<struct<text:struct<content:string,beginOffset:int>,sentiment:struct<score:double,magnitude:double>>>"
+CLASSIFY_JSON = "categories array<struct<name:string,confidence:double>>"
+
+
+def parse_sentiment(df: DataFrame, json_col: str = "response") -> DataFrame:
+    """Score, magnitude and label of a provider's JSON answers, with their sentences; what an answer lacks is 0."""
+    r = df.withColumn("_r", F.from_json(json_col, SENTIMENT_JSON))
+    zero = lambda c: rounded(F.coalesce(c, F.lit(0.0)), 4)
+    each = F.transform(F.coalesce("_r.sentences", F.array()), lambda x: F.struct(
+        F.coalesce(x["text"]["content"], F.lit("")).alias("text"), zero(x["sentiment"]["score"]).alias("score"), zero(x["sentiment"]["magnitude"]).alias("magnitude"),
+        F.coalesce(x["text"]["beginOffset"], F.lit(0)).alias("begin_offset")))
+    rows = r.select(*(c for c in df.columns if c != json_col), F.coalesce("_r.languageCode", "_r.language").alias("language"), zero(F.col("_r.documentSentiment.score")).alias("score"), zero(F.col("_r.documentSentiment.magnitude")).alias("magnitude"), each.alias("sentences"))
+    return label_sentiment(rows)
+
+
+def parse_categories(df: DataFrame, json_col: str = "response") -> DataFrame:
+    """Category rows of a provider's JSON answers; categories() ranks them."""
+    r = df.select(*(c for c in df.columns if c != json_col), F.explode(F.from_json(json_col, CLASSIFY_JSON)["categories"]).alias("_c"))
+    return r.where("_c is not null").select(*(c for c in r.columns if c != "_c"), "_c.name", rounded(F.coalesce("_c.confidence", F.lit(0.0)), 4).alias("confidence"))
+
+
 def records(df: DataFrame, json_col: str, member: str | None) -> DataFrame:
     """One row a record: the members of the named list if it is one, else the answer itself."""
     whole = F.array(F.col(json_col))

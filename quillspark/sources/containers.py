@@ -27,7 +27,7 @@ MAX_FILE = 100 << 20
 MAX_INFLATED = 64 << 20
 SNIFFED = 8000
 #: Style names of headings and titles as word processors store them (fixed values).
-HEADINGS = frozenset("heading überschrift berschrift titre titolo título ttulo titulo kop rubrik overskrift otsikko nagłówek nagwek".split())
+HEADINGS = frozenset("heading überschrift berschrift uberschrift titre titolo título ttulo titulo encabezado kop rubrik overskrift otsikko nagłówek nagwek".split())
 TITLES = frozenset("title titel titre titolo título ttulo titulo otsikko".split())
 
 _INVISIBLE = dict.fromkeys(map(ord, "­​‌‍﻿"))
@@ -338,113 +338,134 @@ def epub(data: bytes) -> tuple[str, str, int | None]:
 #: Destinations without text, and characters by control word (fixed values).
 RTF_SKIP = frozenset("fonttbl colortbl stylesheet listtable listoverridetable rsidtbl generator pict object header headerl headerr headerf footer footerl footerr footerf footnote annotation fldinst themedata colorschememapping datastore latentstyles xmlnstbl mmathPr filetbl revtbl listtext pntext bkmkstart bkmkend shpinst nonshppict".split())
 RTF_CHARS = {"tab": " ", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "~": "\xa0", "_": "-"}
-_RTF = re.compile(rb"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|([\r\n]+)|([^\\{}\r\n]+)", re.I)
+_RTF = re.compile(rb"\\(?P<word>[a-z]+)(?P<param>-?\d+)? ?|\\'(?P<byte>[0-9a-fA-F]{2})|\\(?P<sign>[^a-z])|(?P<brace>[{}])|[\r\n]+|(?P<text>[^\\{}\r\n]+)", re.I)
+
+
+class _Rtf:
+    """Reads tokens one by one; what a control word does stands in the table WORDS."""
+
+    def __init__(self) -> None:
+        self.md, self.title = Markdown(), ""
+        self.text, self.cells = "", []  # type: str, list[str]
+        self.where, self.fallback = "body", 1  # destination, and how many characters stand in for one in Unicode
+        self.groups: list[tuple[str, int]] = []
+        self.outline = -1
+        self.passed = 0  # characters still to be passed over, being the fallback of one read already
+        self.binary = 0  # bytes to be passed over
+        self.units: list[int] = []  # a first half of a surrogate pair
+        self.optional = False
+
+    def put(self, s: str) -> None:
+        if self.passed:
+            s, self.passed = s[self.passed:], max(0, self.passed - len(s))
+        if self.where == "body":
+            self.text += s
+        elif self.where == "title":
+            self.title += s
+
+    def paragraph(self, *_: object) -> None:
+        s, self.text = clean_inline(self.text), ""
+        bullet = re.match(r"[•·▪◦‣–-]\s+(.*)", s)
+        if bullet:
+            self.md.item(0, bullet.group(1))
+        elif self.outline >= 0:
+            self.md.heading(self.outline + 1, s)
+        else:
+            self.md.para(s)
+
+    def fresh(self, *_: object) -> None:
+        self.paragraph()
+        self.outline = -1
+
+    def begin_row(self, *_: object) -> None:
+        self.paragraph()
+        self.cells = []
+
+    def cell(self, *_: object) -> None:
+        self.cells.append(self.text)
+        self.text = ""
+
+    def row(self, *_: object) -> None:
+        self.md.row(self.cells)
+        self.cells = []
+
+    def level(self, n: int | None) -> None:
+        self.outline = n if n is not None and 0 <= n <= 8 else -1
+
+    def width(self, n: int | None) -> None:
+        self.fallback = n if n is not None and n >= 0 else self.fallback
+
+    def go(self, where: str, only_in: str | None = None) -> None:
+        if only_in is None or self.where == only_in:
+            self.where = where
+
+    def unicode(self, n: int | None) -> None:
+        if n is None:
+            return
+        self.units.append(n % 65536)
+        if 0xD800 <= self.units[-1] < 0xDC00 and len(self.units) == 1:
+            self.passed = self.fallback
+            return
+        unit = b"".join(x.to_bytes(2, "little") for x in self.units)
+        self.units = []
+        self.put(unit.decode("utf-16-le", "replace"))
+        self.passed = self.fallback
+
+    WORDS = {
+        **dict.fromkeys(("par", "line", "sect", "page", "column"), paragraph), **dict.fromkeys(("pard", "sectd"), fresh), **dict.fromkeys(("cell", "nestcell"), cell), **dict.fromkeys(("row", "nestrow"), row),
+        "trowd": begin_row, "outlinelevel": level, "uc": width, "u": unicode, "info": lambda self, n: self.go("info"), "title": lambda self, n: self.go("title", "info"),
+    }
+
+    def word(self, w: str, n: int | None) -> None:
+        if w in RTF_SKIP or self.optional and w != "shppict":
+            self.where = "skip"
+        elif w == "bin":
+            self.binary = n or 0
+        elif self.where != "skip":
+            if w in RTF_CHARS:
+                self.put(RTF_CHARS[w])
+            elif w in self.WORDS:
+                self.WORDS[w](self, n)
+        self.optional = False
+
+    def sign(self, c: str) -> None:
+        self.optional = c == "*"
+        if c in "\r\n":
+            self.paragraph()
+        elif c in "\\{}":
+            self.put(c)
+        elif c in RTF_CHARS:
+            self.put(RTF_CHARS[c])
+
+    def read(self, data: bytes) -> None:
+        at = 0
+        while m := _RTF.search(data, at):
+            at = m.end()
+            if m["word"]:
+                self.word(m["word"].decode(), int(m["param"]) if m["param"] else None)
+                at, self.binary = at + self.binary, 0
+            elif m["brace"] == b"{":
+                self.groups.append((self.where, self.fallback))
+            elif m["brace"]:
+                if self.groups:
+                    self.where, self.fallback = self.groups.pop()
+                if not self.groups:
+                    break
+            elif m["sign"]:
+                self.sign(m["sign"].decode("latin-1"))
+            elif m["byte"]:
+                self.put(bytes.fromhex(m["byte"].decode()).decode("cp1252", "replace"))
+            elif m["text"]:
+                self.put(m["text"].decode("cp1252", "replace"))
+        self.paragraph()
 
 
 def rtf(data: bytes) -> tuple[str, str, int | None]:
     if not data.lstrip().startswith(b"{\\rtf"):
         raise TextError("invalid_args", "not an RTF file")
-    md, title = Markdown(), []
-    stack: list[tuple[str, int]] = []
-    dest, uc, outline, skip, high, star = "body", 1, -1, 0, 0, False
-    para: list[str] = []
-    cells: list[str] = []
-
-    def put(s: str) -> None:
-        (title if dest == "title" else para if dest == "body" else []).append(s)
-
-    def end() -> None:
-        s = "".join(para)
-        para.clear()
-        t = clean_inline(s)
-        if m := re.match(r"[•·▪◦‣–-]\s+(.*)", t):
-            md.item(0, m.group(1))
-        elif outline >= 0:
-            md.heading(outline + 1, t)
-        else:
-            md.para(t)
-
-    pos = 0
-    while pos < len(data):
-        m = _RTF.match(data, pos)
-        if not m:
-            pos += 1
-            continue
-        pos = m.end()
-        word, param, hexa, sign, brace, _, raw = m.groups()
-        if brace == b"{":
-            stack.append((dest, uc))
-        elif brace == b"}":
-            if stack:
-                dest, uc = stack.pop()
-            if not stack:
-                break
-        elif word:
-            w, n = word.decode(), int(param) if param else None
-            if w in RTF_SKIP or star and w not in ("shppict",):
-                dest, star = "skip", False
-                continue
-            if dest == "skip":
-                if w == "bin" and n:
-                    pos += n
-                continue
-            if w == "info":
-                dest = "info"
-            elif w == "title" and dest == "info":
-                dest = "title"
-            elif w == "uc" and n is not None and n >= 0:
-                uc = n
-            elif w == "u" and n is not None:
-                n += 65536 * (n < 0)
-                if 0xD800 <= n < 0xDC00:
-                    high = n
-                elif 0xDC00 <= n < 0xE000:
-                    put(chr(0x10000 + (high - 0xD800 << 10) + n - 0xDC00) if high else "�")
-                    high = 0
-                else:
-                    put(chr(n))
-                skip = uc
-            elif w == "bin" and n:
-                pos += n
-            elif w == "outlinelevel":
-                outline = n if n is not None and 0 <= n <= 8 else -1
-            elif w in ("par", "line", "sect", "page", "column"):
-                end()
-            elif w in ("pard", "sectd"):
-                end()
-                outline = -1
-            elif w in ("cell", "nestcell"):
-                cells.append("".join(para))
-                para.clear()
-            elif w in ("row", "nestrow"):
-                md.row(cells)
-                cells = []
-            elif w == "trowd":
-                end()
-                cells = []
-            elif w in RTF_CHARS:
-                put(RTF_CHARS[w])
-        elif hexa:
-            if skip:
-                skip -= 1
-            elif dest != "skip":
-                put(codecs.decode(bytes([int(hexa, 16)]), "cp1252", "replace"))
-        elif sign:
-            if sign == b"*":
-                star = True
-            elif sign in (b"\n", b"\r"):
-                end()
-            elif sign.decode("latin-1") in RTF_CHARS:
-                put(RTF_CHARS[sign.decode("latin-1")])
-            elif sign in b"\\{}":
-                put(sign.decode())
-        elif raw and dest != "skip":
-            s = raw.decode("cp1252", "replace")
-            if skip:
-                s, skip = s[skip:], max(0, skip - len(s))
-            put(s)
-    end()
-    return md.text(), clean_inline("".join(title)), None
+    r = _Rtf()
+    r.read(data)
+    return r.md.text(), clean_inline(r.title), None
 
 
 # --- PDF ------------------------------------------------------------------------------------------
@@ -671,5 +692,5 @@ def extract(files: DataFrame, want: str = "auto") -> DataFrame:
     return flat_map(files, ["path", small], make, "path string, markdown string, title string, format string, pages int, error struct<code:string,message:string,retriable:boolean>")
 
 
-def read_files(spark: SparkSession, path: str, want: str = "auto") -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str], want: str = "auto") -> DataFrame:
     return extract(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"), want)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import native
-from quillspark.sources import containers
+from quillspark.sources import containers, remote
 from quillspark.sources.errors import TextError
 
 CAP = 10 << 20
@@ -77,15 +77,29 @@ def from_args(spark: SparkSession, texts: list[str], cap: int = CAP) -> DataFram
     return raw.select(*_document(F.col("n"), F.col("value"), cap=cap))
 
 
-def load(spark: SparkSession, files: list[str] | None = None, args: list[str] | None = None, kind: str = "text", **options) -> DataFrame:
-    """Files before arguments; kind is text, lines, jsonl or container."""
+def read_urls(spark: SparkSession, urls: list[str], fetchers: list[remote.Fetcher], cap: int = CAP) -> DataFrame:
+    """One document a distinct address, in order of the list; what the page says of itself becomes side-car text, a failure the row's error."""
+    asked = spark.createDataFrame([(i, u.strip()) for i, u in enumerate(dict.fromkeys(urls)) if u.strip()], "n int, requested_url string")
+    got = remote.fetch_pages(asked, fetchers, "requested_url").join(F.broadcast(asked), "requested_url")
+    df = got.select(*_document(F.col("n"), F.col("markdown"), cap=cap), "error", "url", "title", "language")
+    return provenance(df, url=F.col("url"), title=F.nullif(F.col("title"), F.lit("")), language=F.nullif(F.col("language"), F.lit(""))).drop("url", "title", "language")
+
+
+def load(spark: SparkSession, files: list[str] | None = None, args: list[str] | None = None, kind: str = "text", urls: list[str] | None = None, fetchers: list[remote.Fetcher] | None = None, **options) -> DataFrame:
+    """Addresses before files before arguments; kind is text, lines, jsonl or container. Addresses and files at once are an error."""
+    if urls:
+        if files:
+            raise TextError("invalid_args", "give addresses or files, not both")
+        if not fetchers:
+            raise TextError("provider_unavailable", "no fetcher for addresses")
+        return read_urls(spark, urls, fetchers, **options)
     if files:
         if kind == "lines":
             return read_lines(spark, files, **options)
         if kind == "jsonl":
             return read_jsonl(spark, files, **options)
         if kind == "container":
-            got = containers.read_files(spark, files[0] if len(files) == 1 else ",".join(files), **options)
+            got = containers.read_files(spark, files, **options)
             df = got.select(*_document(F.col("path"), F.col("markdown")), "format", "title", "path", "error")
             return provenance(df, file=F.col("path"), format=F.col("format"), title=F.nullif(F.col("title"), F.lit(""))).drop("path", "format", "title")
         return read_text(spark, files, **options)

@@ -36,26 +36,34 @@ def windowed(events: DataFrame, time_col: str, key: str, width: str = "1 hour",
 
 
 def cached(requests: DataFrame, ttl_seconds: int, key: str = "key", payload: str = "payload") -> DataFrame:
-    """Hit or miss of each request; a key's payload lives ttl_seconds after it was last put."""
+    """Hit or miss of each request; a key's payload lives ttl_seconds after it was last put, however often it is asked for.
+
+    Only a put sets the time to live; a request that finds the time over is a miss, whether the state was cleared yet or not.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        kept = state.get[0] if state.exists else None
+        now = state.getCurrentProcessingTimeMs()
+        kept, until = state.get if state.exists else (None, 0)
+        if until <= now:
+            kept = None
         for b in batches:
             out = []
             for p in b[payload]:
                 hit = kept is not None and p is None
                 if p is not None:
-                    kept = p
+                    kept, until = p, now + ttl_seconds * 1000
                 out.append((k[0], kept, hit))
             yield pd.DataFrame(out, columns=["key", "payload", "hit"])
         if kept is not None:
-            state.update((kept,))
-            state.setTimeoutDuration(ttl_seconds * 1000)
+            state.update((kept, until))
+            state.setTimeoutDuration(max(1, until - now))
+        elif state.exists:
+            state.remove()
 
-    return requests.groupBy(key).applyInPandasWithState(step, "key string, payload string, hit boolean", "payload string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy(key).applyInPandasWithState(step, "key string, payload string, hit boolean", "payload string, until bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def to_sink(results: DataFrame, path: str, checkpoint: str):  # noqa: ANN201

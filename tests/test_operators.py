@@ -235,7 +235,7 @@ def test_remote(spark):
     assert got["ftp://x"].error["code"] == "invalid_args" and got["http://broken.org"].error["code"] == "rate_limited"
     enc = remote.Encyclopedia(fake, "http://{lang}.w")
     r = api.kb_lookup(spark.createDataFrame([("ada_l", "en"), ("ada_l", "en")], "title string, lang string"), enc).collect()
-    assert len(r) == 1 and r[0].title == "Ada" and r[0].aliases == ["ada l", "Ada_L"]
+    assert len(r) == 1 and r[0].title == "Ada" and r[0].aliases == ["ada l", "Ada L"]
     assert api.kb_search(spark.createDataFrame([("q", "en")], "query string, lang string"), enc).first().snippet == "x y"
     assert api.papers(spark.createDataFrame([("q",)], "query string"), remote.Literature(fake, "http://p")).first().paper_id == "1"
     e = api.entities(spark.createDataFrame([("1", "Ada")], "id string, text string"), remote.EntityProvider(fake, "http://e")).first()
