@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.pytext import FOLDS, SYLLABLES_EN, TOKEN
+from quillspark.functions.pytext import _SPACE, FOLDS, SYLLABLES_EN, TOKEN
+from quillspark.functions.strip import SNIFFED_TAGS
 
 Col = Column | str
 
@@ -154,6 +155,17 @@ def tool_id(identifier: Col) -> Column:
     return F.when(x.rlike(r"^[a-z0-9][a-z0-9._-]{0,199}/[a-z0-9][a-z0-9/._-]{0,199}$"), x)
 
 
+def sniffed(text: Col) -> Column:
+    """none, html or markdown, as strip.sniff says, without leaving the JVM."""
+    x = _c(text)
+    doc = x.rlike(r"(?i)<!doctype\s+html|</?html\b|</?body\b")
+    signs = (r"\A(?:---|\+\+\+)[ \t]*\n", r"(?md)^ {0,3}(?:```|~~~)", r"(?md)^ {0,3}#{1,6}[ \t]+\S", r"(?md)^ {0,3}(?:[-*+]|[0-9]{1,9}[.)])[ \t]+\S", r"!?\[[^\]\n]*\]\([^)\n]*\)", r"(?md)^ {0,3}\[[^\]\n]+\]:[ \t]*\S", r"(?md)^ {0,3}\|.*\|[ \t]*$")
+    marked = reduce(Column.__or__, (x.rlike(p) for p in signs))
+    tags = F.transform(F.regexp_extract_all(x, F.lit(rf"(?i)</?({SNIFFED_TAGS})\b[^>]*>"), F.lit(1)), F.lower)
+    blank = x.isNull() | ~x.rlike(rf"[^{_SPACE}]")
+    return F.when(blank, "none").when(doc, "html").when(marked, "markdown").when((F.size(tags) >= 4) | (F.size(F.array_distinct(tags)) >= 3), "html").otherwise("none")
+
+
 def redacted(secret: Col) -> Column:
     """Last four characters; all hidden up to four."""
     s = _c(secret)

@@ -229,8 +229,7 @@ SELECT article_no, retrieved_at, CASE WHEN extract_text IS NULL OR NOT regexp_ma
 FROM (SELECT *, list_transform(regexp_extract_all(extract_text, '(?i)</?({strip.SNIFFED_TAGS})\\b[^>]*>', 1), lambda x: lower(x)) AS t FROM articles)
 """)
 def sniffed_articles(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.pandas_udf(lambda s: s.map(strip.sniff), "string")
-    return table(spark, d, "articles").select("article_no", "retrieved_at", kind("extract_text").alias("kind"))
+    return table(spark, d, "articles").select("article_no", "retrieved_at", native.sniffed("extract_text").alias("kind"))
 
 
 # --- metrics over stored statistics -----------------------------------------------------------
