@@ -3,10 +3,10 @@
 Each page is reduced to its main body, and the terms of its address slug, its title and its running text are compared: a
 page that agrees with its address or its title is left alone. Two detectors look at one page: placeholders in title and
 running text (quoted text and code aside), and filler, words without grammar that make up half of the running text or more. All
-other rows come from combined host evidence: a line that stands at three addresses at least, of different hosts or of one,
+other rows come from combined host evidence: a line that stands at several addresses, of different hosts or of one,
 is low in information, and a mismatched page whose running text is made of such lines is residue. Lines that differ by
-one inserted name share a half, and halves of a line are counted as well; what rests on halves, or on lines that the
-hosts repeat under a heading of their own, must pass an exact check of the wording, most of the running text being so worded.
+one inserted name share a half, and halves of a line are counted as well; what rests on halves, on two addresses, or on lines
+that the hosts repeat under a heading of their own, must pass an exact check of the wording, most of the running text being so worded.
 
 Only ids, hashes and flags of the lines of mismatched pages are shuffled, counted per line, host and address before (partial
 counts on the map side) and joined back with salted keys, so neither a host nor a line with a third of all rows is hot.
@@ -33,6 +33,7 @@ from quillspark.operators.rows import flat_map
 ADDRESSES = 3  # addresses (host and slug) at which a line must stand to be low in information
 HOSTS = 3  # hosts that must share it, where no address of one host has it ALONE times
 ALONE = 8
+WORDED = 2  # addresses that are enough for a line, or half of it, whose wording bears it out
 SALTS = 16
 
 _NAME = r"(?:[A-Za-z][a-z]*(?:[_.][A-Za-z]+)+|[a-z]{3,20}|[A-Z]{3,20}|[A-Z]+(?:_[A-Z]+)+)"
@@ -201,10 +202,11 @@ def residue(df: DataFrame, id_col: str = "response_id", text_col: str = "markdow
     lines = found.where("reason is null").select(id_col, "host", "address", "line", "words", "of", "own", "worded", F.posexplode("keys").alias("half", "key"))
     # equal addresses are merged first, so a line that one host repeats sends few rows
     sites = lines.groupBy("key", "host", "address").count().groupBy("key", "host").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.max("n").alias("alone"))
-    common = sites.where((F.col("n") >= ADDRESSES) & ((F.col("hosts") >= HOSTS) | (F.col("alone") >= ALONE))).select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    said = lines.withColumn("salt", F.pmod(F.xxhash64(id_col, "line"), F.lit(SALTS)).cast("int")).join(common, ["key", "salt"], "left_semi")
+    strong = (F.col("n") >= ADDRESSES) & ((F.col("hosts") >= HOSTS) | (F.col("alone") >= ALONE))
+    common = sites.where(F.col("n") >= WORDED).select("key", strong.alias("strong"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    said = lines.withColumn("salt", F.pmod(F.xxhash64(id_col, "line"), F.lit(SALTS)).cast("int")).join(common, ["key", "salt"])
     # a whole line is evidence by itself on a page without a heading of its own, anything else if its wording bears it out
-    bears = F.col("worded") | (F.col("half") == 0) & ~F.col("own")
+    bears = F.col("worded") | F.col("strong") & (F.col("half") == 0) & ~F.col("own")
     by_line = said.where(bears).groupBy(id_col, "line").agg(F.max("words").alias("words"), F.max("of").alias("of"))
     duplicate = by_line.groupBy(id_col).agg(F.sum("words").alias("words"), F.max("of").alias("of")).where("words * 2 > of").select(id_col, F.lit("duplicate").alias("reason"))
     return sure.unionAll(duplicate).groupBy(id_col).agg(F.max("reason").alias("reason"))

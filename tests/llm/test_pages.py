@@ -126,8 +126,8 @@ def test_residue_frame(spark):
 
 def test_without_host_evidence_no_message_is_found(spark, monkeypatch):
     rows = [(i, f"host{i}", f"https://host{i}/a/the-water-level-{i}", None, "Too many requests, slow down.") for i in range(4)]
-    assert residue.residue(frame(spark, rows)).count() == 4
-    monkeypatch.setattr(residue, "ADDRESSES", 5)
+    assert residue.residue(frame(spark, rows)).count() == 4 and residue.residue(frame(spark, rows[:2])).count() == 2 and residue.residue(frame(spark, rows[:1])).count() == 0
+    monkeypatch.setattr(residue, "WORDED", 5)
     assert residue.residue(frame(spark, rows)).count() == 0
 
 
