@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,7 @@ _FURNITURE = re.compile(
     re.I,
 )
 
+REMEMBERED = 80  # characters of a line whose answer is kept
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)")
 _MARKER = re.compile(r"(?:[-*+•]|\d{1,3}[.)])\s+")
 _HEADING = re.compile(r"#{1,6}\s+|\*\*(?=[^*]+\*\*$)")
@@ -119,13 +121,19 @@ def _entry(s: str) -> bool:
     return s.lower() in _MENU
 
 
+@lru_cache(1 << 15)
+def _known(s: str) -> bool:
+    """The same test for short lines, which come again and again."""
+    return _FURNITURE.fullmatch(s) is not None
+
+
 def _furniture(s: str, names: frozenset[str]) -> bool:
     """Whether a line without its marker is furniture by itself."""
     low = s.lower().strip(" .!")
     if low in _MENU or low in names:
         return True
     n = len(s)
-    if _FURNITURE.fullmatch(s):
+    if _known(s) if n <= REMEMBERED else _FURNITURE.fullmatch(s):
         return True
     if n < 70 and _BYLINE.match(s):
         return True

@@ -20,12 +20,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.pagebody import read
+from quillspark.llm.pagebody import REMEMBERED, read
 from quillspark.llm.spam import FUNCTION
 from quillspark.operators.durable import checkpointed
 from quillspark.operators.rows import flat_map
@@ -104,10 +105,20 @@ def placeholder(s: str) -> bool:
 def message(s: str) -> bool:
     """Whether a line is an error, a notice or a prompt by its wording, or all of its sentences are."""
     s = _QUOTED.sub(" ", s).strip() if any(c in s for c in "\"«»“”„`") else s
-    if _MESSAGE.fullmatch(s):
+    if _said(s):
         return True
     parts = _SENTENCES.split(s)
-    return len(parts) > 1 and all(_MESSAGE.fullmatch(x) for x in parts)
+    return len(parts) > 1 and all(map(_said, parts))
+
+
+def _said(s: str) -> bool:
+    return _known(s) if len(s) <= REMEMBERED else _MESSAGE.fullmatch(s) is not None
+
+
+@lru_cache(1 << 15)
+def _known(s: str) -> bool:
+    """The same test for short sentences, which come again and again."""
+    return _MESSAGE.fullmatch(s) is not None
 
 
 def ungrammatical(words: list[str]) -> bool:
