@@ -18,8 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    papers = table(spark, folder, "papers")
-    return reading.hard_papers(papers, reading.fit_papers(papers)).distinct()
+    return reading.find_hard(table(spark, folder, "papers")).distinct()
 
 
 def p1_levels(spark: SparkSession, folder: str) -> DataFrame:

@@ -75,3 +75,21 @@ def test_frame(spark):
     lv = {x.paper_id: x for x in reading.levels(df, r, None, "paper_id", "abstract").collect()}
     assert lv["n"].grade is None and lv["e3"].grade < lv["h3"].grade and lv["h3"].surprisal_mean > lv["e3"].surprisal_mean
     assert reading.hard_papers(df.limit(0), reading.fit_papers(df.limit(0))).count() == 0
+
+
+def test_models_are_of_every_row(spark):
+    texts = [EASY * (i % 7) + HARD * (i % 5) + "So it is. " * (i % 3) for i in range(3100)] + [EASY * 500 + HARD * 20, HARD * 300]  # more rows and longer texts than samples held
+    df = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "paper_id string, abstract string")
+    got = reading.fit_papers(df).levels
+    want = reading.Reader([("en", t) for t in texts]).levels["en"]
+    assert list(got) == ["en"] and got["en"].rows == sum(map(bool, texts)) and got["en"].edges == want.edges
+    assert np.array_equal(got["en"].whole, want.whole) and np.array_equal(got["en"].costs, want.costs) and np.allclose(got["en"].weights, want.weights, atol=1e-6)
+    assert abs(got["en"].band - want.band) < 1e-3
+    hard = {f"p{i}" for i, t in enumerate(texts) if t and reading.ease(t, "en") < reading.HARD}
+    assert {r.paper_id for r in reading.find_hard(df).collect()} == hard
+
+
+def test_measured_as_the_scale():
+    for t in (EASY + HARD, "Donaudampfschifffahrtsgesellschaftskapitän ist 12 Jahre alt. 靴安い靴。", "3. Le chat, l'eau. Il pleut!"):
+        for lang in ("en", "de", "fr"):
+            assert reading.measure(t, lang)[1] == reading.ease(t, lang)
