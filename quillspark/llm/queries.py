@@ -63,8 +63,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    return spam.score_pages(documents, spam.fit(documents)).where("is_spam").select("doc_id")
+    return spam.find_spam(table(spark, folder, "documents")).select("doc_id")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,8 +8,10 @@ are abnormal, and only documents with most of their words in abnormal segments c
 of the abnormal segments those count that hold repeated keywords, search phrases, bare links or product tags and no
 grammar of a sentence.
 
-The model is fitted on a bounded sample of documents (SAMPLE rows with the least hashed ids, prose segments
-only); scoring is one narrow pass over all documents.
+The model is fitted on the prose segments of all documents. Texts are read once: the class sequences go to the checkpoint
+folder, counted within each split, and the trigrams and the ends of the band are made from all of them by Spark. So do
+the texts that could be flagged whatever the band (their unwritten segments hold most of their words); those alone are
+judged again.
 
 Cases: null and blank texts, and texts of under LEAST_WORDS words (two search phrases are no run), are never flagged; equal texts get
 equal answers; texts of any length are read whole.
@@ -20,17 +22,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quillspark.llm import sample as samples
+from quillspark.llm.whole import at_ranks, fold
+from quillspark.operators.durable import checkpointed
 from quillspark.operators.rows import flat_map
 
-SAMPLE = 2500
 LEAST_WORDS = 8
 SHARE = 0.5
 AGAIN = 0.45  # a keyword before ever new names repeats every second word
+KEPT = 1_000_000  # symbols of sequences counted within a split before they are sent
 STANDS_OUT = 0.2  # share of the commonest keyword in segments of a script whose function words aren't all listed; 5 times at least
 BAND = 0.01  # prose share beyond either end of the normal band
 
@@ -126,18 +130,26 @@ class Segment:
                     self.content.append(low)
 
 
+def trigrams(sequences: Iterable[tuple[str, int]]) -> Counter:
+    """Trigrams of (sequence, how often)."""
+    out: Counter = Counter()
+    for s, n in sequences:
+        s = f"<<{s}>"
+        for g in zip(s, s[1:], s[2:]):
+            out[g] += n
+    return out
+
+
 class Trigram:
-    """Interpolated trigram model over classes."""
+    """Interpolated trigram model over classes, from the counts of trigrams."""
 
-    def __init__(self, sequences: Iterator[list[str]]):
+    def __init__(self, counted: dict[tuple[str, str, str], int]):
         self.n = [Counter(), Counter(), Counter()]
         self.c = [Counter(), Counter(), Counter()]
-        for s in sequences:
-            s = ["<", "<", *s, ">"]
-            for i in range(2, len(s)):
-                for k in range(3):
-                    self.n[k][tuple(s[i - k:i + 1])] += 1
-                    self.c[k][tuple(s[i - k:i])] += 1
+        for g, n in counted.items():
+            for k in range(3):
+                self.n[k][g[2 - k:]] += n
+                self.c[k][g[2 - k:2]] += n
         self.kinds = max(20, len(self.n[0]))
         self.memo: dict[tuple[str, str, str], float] = {}
 
@@ -153,7 +165,7 @@ class Trigram:
             got = self.memo[a, b, c] = -math.log(p)
         return got
 
-    def perplexity(self, s: list[str]) -> float:
+    def perplexity(self, s: list[str] | str) -> float:
         x = ["<", "<", *s, ">"]
         return math.exp(sum(self.cost(x[i - 2], x[i - 1], x[i]) for i in range(2, len(x))) / (len(x) - 2))
 
@@ -195,18 +207,26 @@ def sequence(s: Segment, often: Counter, least: int) -> list[str]:
     return out
 
 
+def prose(found: list[Segment]) -> Iterator[str]:
+    """Sequences of the segments that the model is fitted on."""
+    often = keyed(found)
+    least = max(4, sum(often.values()) // 20)
+    for s in found:
+        if s.classes[-1] == "E" and s.strong >= 1 and len(q := sequence(s, often, least)) >= 5:
+            yield "".join(q)  # a class is one character
+
+
+def ends(n: int) -> list[int]:
+    """Places of the band's ends among n sorted perplexities."""
+    return [int(n * BAND), min(n - 1, int(n * (1 - BAND)))]
+
+
 class Model:
-    def __init__(self, texts: list[str]):
-        prose, scores = [], []
-        for t in texts:
-            found = segments(t)
-            often = keyed(found)
-            least = max(4, sum(often.values()) // 20)
-            prose += [q for s in found if len(q := sequence(s, often, least)) >= 5 and s.classes[-1] == "E" and s.strong >= 1]
-        self.trigram = Trigram(iter(prose))
-        scores = sorted(self.trigram.perplexity(q) for q in prose)
-        n = len(scores)
-        self.low, self.high = (scores[int(n * BAND)], scores[min(n - 1, int(n * (1 - BAND)))]) if n else (0.0, math.inf)
+    def __init__(self, texts: Iterable[str] = ()):
+        found = Counter(q for t in texts for q in prose(segments(t)))
+        self.trigram = Trigram(trigrams(found.items()))
+        scores = sorted(self.trigram.perplexity(q) for q in found.elements())
+        self.low, self.high = (scores[i] for i in ends(len(scores))) if scores else (0.0, math.inf)
 
     def judge(self, text: str | None) -> tuple[float, float, bool]:
         """(share of words in segments of abnormal perplexity, share in keyword segments, spam)."""
@@ -220,14 +240,25 @@ class Model:
         share = sum(s.words for s in odd) / total
         if share <= SHARE:
             return share, 0.0, False
-        dutch = sum(len(_DUTCH & s.functions) + len(_DUTCH.intersection(s.content)) for s in found) >= 2  # "de" is then an article
-        bad = keyword_words([s for s in odd if unwritten(s, s.strong + (s.content.count("de") if dutch else 0))], often) / total
+        bad = keyword_words(unwritten_of(odd, found), often) / total
         return share, bad, bad > SHARE
 
     def is_spam(self, text: str | None) -> bool:
         return self.judge(text)[2]
 
 
+def unwritten_of(some: list[Segment], found: list[Segment]) -> list[Segment]:
+    """The unwritten among some of a document's segments."""
+    dutch = sum(len(_DUTCH & s.functions) + len(_DUTCH.intersection(s.content)) for s in found) >= 2  # "de" is then an article
+    return [s for s in some if unwritten(s, s.strong + (s.content.count("de") if dutch else 0))]
+
+
+def possible(found: list[Segment]) -> bool:
+    """Whether any band could make a document of these segments spam: judge() flags none without."""
+    total = sum(s.words for s in found)
+    return total >= LEAST_WORDS and sum(s.words for s in unwritten_of([s for s in found if s.words], found)) > SHARE * total
+
+
 def unwritten(s: Segment, strong: int) -> bool:
     """Whether a segment lacks the function words of a sentence, or is made of tags or bare links."""
     if s.tags >= 2 and s.tags * 2 >= s.words:
@@ -262,9 +293,63 @@ def keyword_words(suspects: list[Segment], often: Counter) -> int:
     return count
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """The prose model, from at most `sample` documents."""
-    return Model(samples.texts(df, id_col, text_col, sample))
+def _read(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(sequence, n) of the prose of all documents, and (id, text) of those that could be spam; texts are read once."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        counted: Counter = Counter()
+        size = 0
+        for key, text in rows:
+            found = segments(text)
+            for q in prose(found):
+                counted[q] += 1
+                size += len(q)
+            if possible(found):
+                yield key, text, None, None
+            if size >= KEPT:
+                yield from ((None, None, q, n) for q, n in counted.items())
+                counted.clear()
+                size = 0
+        yield from ((None, None, q, n) for q, n in counted.items())
+
+    return checkpointed(fold(df, [id_col, text_col], run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, text string, sequence string, n long"))
+
+
+def _fit(read: DataFrame) -> Model:
+    found = read.where("sequence is not null")
+    sc = read.sparkSession.sparkContext
+
+    def count(rows: Iterator[tuple]) -> Iterator[tuple]:
+        return (("".join(g), n) for g, n in trigrams(rows).items())
+
+    model = Model()
+    model.trigram = Trigram({tuple(g): n for g, n in fold(found, ["sequence", "n"], count, "gram string, n long").groupBy("gram").agg(F.sum("n")).collect()})
+    sent = sc.broadcast(model.trigram)
+
+    def score(rows: Iterator[tuple]) -> Iterator[tuple]:
+        t = sent.value
+        return (("", t.perplexity(q), n) for q, n in rows)
+
+    for low, high in at_ranks(fold(found, ["sequence", "n"], score, "key string, value double, n long"), ends).values():
+        model.low, model.high = low, high
+    return model
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The prose model, from all documents."""
+    return _fit(_read(df, id_col, text_col))
+
+
+def find_spam(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id and text of the spam by the model of the same documents, whose texts are read once for both."""
+    read = _read(df, id_col, text_col)
+    sent = df.sparkSession.sparkContext.broadcast(_fit(read))
+
+    def make() -> Callable[..., list[tuple]]:
+        m = sent.value
+        return lambda key, text: [(key, text)] if m.is_spam(text) else []
+
+    return flat_map(read.where("sequence is null"), [id_col, "text"], make, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, text string")
 
 
 def score_pages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,3 +53,18 @@ def test_frame(spark):
     got = spam.score_pages(df, spam.fit(df)).where("is_spam").collect()
     assert sorted(r.doc_id for r in got) == [1, 1, 5]
     assert spam.score_pages(df.limit(0), spam.fit(df.limit(0))).count() == 0
+
+
+def test_model_is_of_every_row(spark):
+    texts = [" ".join(w for w in PROSE.split() if (i * len(w)) % 11 != 1) for i in range(3000)] + [PROSE + " Was it so? " * 3000, None, KEYS, ""]  # more rows and longer texts than samples held
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, want = spam.fit(df), spam.Model(texts)
+    assert got.trigram.n == want.trigram.n and got.trigram.c == want.trigram.c and (got.low, got.high) == (want.low, want.high)
+    assert [r.doc_id for r in spam.find_spam(df).collect()] == [i for i, t in enumerate(texts) if want.is_spam(t)] == [3002]
+
+
+def test_possible_leaves_out_no_spam():
+    m = model()
+    m.low = m.high = float("inf")  # every segment is a candidate
+    pages = [KEYS, "A sentence stands here.\n\n" + KEYS, PROSE, KEYS + "\n" + PROSE * 2, "shoes shoes", None] + [" ".join(["#ShoesSale #BestShoes"] * 5)]
+    assert [spam.possible(spam.segments(t)) for t in pages if m.is_spam(t)] == [True] * sum(map(m.is_spam, pages)) and not spam.possible(spam.segments(PROSE))
