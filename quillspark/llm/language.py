@@ -1,10 +1,11 @@
 """Language of each document and of each of its segments by rank-order profiles.
 
 A profile is the list of a language's most frequent character n-grams (1 to 5, word borders as spaces); a text is
-given the language to whose profile its own ranking is least out of place. Profiles are fitted on a bounded
-sample of labelled documents (SAMPLE a label, the rows whose hashed ids are least), then the sample is labelled
-anew and the profiles are fitted again, which throws out wrong labels and labels that name no language of the
-corpus. Everything else is one narrow pass over all documents.
+given the language to whose profile its own ranking is least out of place. Profiles are fitted on all labelled documents,
+then these are labelled anew and the profiles are fitted again, twice, which throws out wrong labels and labels that name
+no language of the corpus. N-grams and words are counted within each split and added up by Spark; texts labelled anew are
+moved from one label's counts to the other's. The driver gets core words and profiles alone. Everything else is one narrow
+pass over all documents.
 
 Cases: null, blank and wordless texts have no language (null, confidence 0); ties go to the first code in
 alphabetical order; equal texts get equal answers; texts of any length are read whole.
@@ -15,20 +16,23 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm import sample as samples
 from quillspark.llm.sentences import spans
+from quillspark.llm.whole import at_ranks, fold
+from quillspark.operators.durable import checkpointed
 from quillspark.operators.rows import flat_map
 
-SAMPLE = 300  # labelled rows a label
 PROFILE = 500  # n-grams a profile
 CORE = 0.1  # share of a label's texts that have a core word
 NEAR = 0.75  # of the usual coverage by core words
 KEPT_WORDS = 100_000
+KEPT_ITEMS = 4_000_000  # n-grams and words of texts held in a task before their counts are sent
+TOGETHER = 64  # texts measured in one go
 _EMPTY = np.zeros(0, np.int32)
 DENSE = ("zh", "ja", "ko")
 TIE = 0.04  # a lead under which the label's word counts
@@ -169,11 +173,20 @@ class Profiles:
         return self.distances_of([ids])[0]
 
     def distances_of(self, texts: list[np.ndarray]) -> list[np.ndarray | None]:
-        """distances() of many texts in one go over arrays."""
+        """distances() of many texts over arrays, TOGETHER in one go."""
+        return [d for i in range(0, len(texts), TOGETHER) for d in self._distances_of(texts[i:i + TOGETHER])]
+
+    def _distances_of(self, texts: list[np.ndarray]) -> list[np.ndarray | None]:
         if not self.langs or not any(map(len, texts)):
             return [None] * len(texts)
         size = len(self.index)
-        found, n = np.unique(np.concatenate([t + np.int64(k * size) for k, t in enumerate(texts)]), return_counts=True)
+        all_ids = np.concatenate([t + np.int64(k * size) for k, t in enumerate(texts)])
+        if len(texts) * size <= 64 * len(all_ids):  # a count of every n-gram takes less than a sort
+            n = np.bincount(all_ids, minlength=len(texts) * size)
+            found = np.flatnonzero(n)
+            n = n[found]
+        else:
+            found, n = np.unique(all_ids, return_counts=True)
         of, gram = found // size, found % size
         begin = np.searchsorted(of, np.arange(len(texts) + 1))
         kinds = np.diff(begin)
@@ -193,10 +206,149 @@ class Profiles:
         return None if d is None else self.langs[int(d.argmin())]
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Profiles:
-    """Profiles from at most `sample` labelled rows a label."""
-    got, sizes = samples.labelled(df, label_column(F.col(lang_col)), id_col, text_col, sample)
-    return Profiles.fit([(k, t) for k in sorted(got) for t in got[k]], sizes) if got else Profiles({})
+class Tally:
+    """How many texts of each label hold each n-gram, each word (marked by a line break) and any word at all (the empty item)."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.words: dict[str, np.ndarray] = {}
+        self.held: dict[tuple[str, int], list[np.ndarray]] = defaultdict(list)
+        self.size = 0
+        self.mark = np.zeros(1 << 16, np.int32)
+
+    def _id(self, item: str) -> int:
+        return self.index.setdefault(item, len(self.index))
+
+    def ids(self, text: str) -> np.ndarray:
+        """The items of a text, each once."""
+        parts = []
+        for w in set(_WORDS.findall(_NOISE.sub(" ", text).lower())):
+            got = self.words.get(w)
+            if got is None:
+                own = [w[i:i + 2] for i in range(len(w) - 1)] if w[0] >= "฀" else [w]  # as text_words
+                got = self.words[w] = np.array([self._id(x) for x in ["", *word_grams(w), *("\n" + x for x in own)]], np.int32)
+            parts.append(got)
+        if not parts:
+            return _EMPTY
+        out = np.concatenate(parts)
+        if len(self.index) > len(self.mark):
+            self.mark = np.zeros(2 * len(self.index), np.int32)
+        at = np.arange(len(out), dtype=np.int32)
+        self.mark[out] = at
+        return out[self.mark[out] == at]
+
+    def add(self, label: str, ids: np.ndarray, sign: int = 1) -> None:
+        if label and len(ids):
+            self.held[label, sign].append(ids)
+            self.size += len(ids)
+
+    def send(self, least: int = KEPT_ITEMS) -> Iterator[tuple[str, str, int]]:
+        """(label, item, texts) once at least so many items are held."""
+        if self.size >= least:
+            names = list(self.index)
+            for (label, sign), parts in self.held.items():
+                for i, n in zip(*np.unique(np.concatenate(parts), return_counts=True)):
+                    yield label, names[i], sign * int(n)
+            self.held.clear()
+            self.size = 0
+        if len(self.words) >= KEPT_WORDS and not self.held:
+            self.words.clear()
+            self.index.clear()
+
+
+def _added(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("label", "item").agg(F.sum("n").alias("n"))
+
+
+def _ranked(counts: DataFrame) -> Profiles:
+    """Profiles of the commonest n-grams of each label."""
+    order = Window.partitionBy("label").orderBy(F.desc("n"), "item")
+    rows = counts.where("n > 0 and item <> '' and not startswith(item, '\n')").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PROFILE).collect()
+    by: dict[str, list[str]] = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.label, r.r)):
+        by[r.label].append(r.item)
+    return Profiles(by)
+
+
+def _true_labels(known: DataFrame, counts: DataFrame, sizes: dict[str, int]) -> list[str]:
+    """The labels that aren't wrong names of others, as in Profiles.fit."""
+    sc = known.sparkSession.sparkContext
+    texts = {r.label: r.n for r in counts.where("item = ''").collect()}
+    true = sorted(texts, key=lambda k: (-sizes[k], k))
+    if len(true) < 2:
+        return true
+    least = F.create_map(*(F.lit(x) for k, n in sorted(texts.items()) for x in (k, float(max(2, CORE * n)))))
+    core: dict[str, np.ndarray] = {}
+    for r in counts.where(F.startswith("item", F.lit("\n")) & (F.col("n") >= F.element_at(least, F.col("label")))).collect():
+        core.setdefault(r.item[1:], np.zeros(len(true), np.int64))[true.index(r.label)] = 1
+    sent = sc.broadcast((true, core))
+
+    def cover(rows: Iterator[tuple]) -> Iterator[tuple]:
+        true, core = sent.value
+        for k, text in rows:
+            if words := text_words(text):
+                yield k, len(words), sum((core[w] for w in words if w in core), np.zeros(len(true), np.int64)).tolist()
+
+    covered = checkpointed(fold(known, ["label", "text"], cover, "label string, words int, core array<int>"))
+    place = F.create_map(*(F.lit(x) for i, k in enumerate(true, 1) for x in (k, i)))
+    own = covered.select(F.col("label").alias("key"), (F.element_at("core", F.element_at(place, F.col("label"))) / F.col("words")).alias("value"), F.lit(1).cast("long").alias("n"))
+    usual = {k: (a + b) / 2 for k, (a, b) in at_ranks(own, lambda n: [(n - 1) // 2, n // 2]).items()}
+    tell = sc.broadcast((true, usual, {k: [j for j in true if (sizes[j], j) > (sizes[k], k) and texts[j] >= 5] for k in true}, sizes))
+
+    def foreign(rows: Iterator[tuple]) -> Iterator[tuple]:
+        true, usual, more, sizes = tell.value
+        at = {k: i for i, k in enumerate(true)}
+        out: Counter = Counter()
+        for k, words, core in rows:
+            over = [j for j in more[k] if core[at[j]] >= NEAR * usual[j] * words]
+            commoner = any(sizes[j] > sizes[k] for j in over)
+            out[k, commoner, "" if commoner else " ".join(over)] += 1  # labels of the same size may have been dropped before
+        return ((*x, n) for x, n in out.items())
+
+    told = fold(covered, ["label", "words", "core"], foreign, "label string, commoner boolean, alike string, n long").groupBy("label", "commoner", "alike").agg(F.sum("n").alias("n")).collect()
+    for k in reversed(true[1:]):
+        if 2 * sum(r.n for r in told if r.label == k and (r.commoner or any(j in true for j in r.alike.split()))) >= texts[k]:
+            true.remove(k)
+    return true
+
+
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """Profiles from all labelled rows: those Profiles.fit makes of them."""
+    known = df.select(label_column(F.col(lang_col)).alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null")
+    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+
+    def tally(rows: Iterator[tuple]) -> Iterator[tuple]:
+        t = Tally()
+        for k, text in rows:
+            t.add(k, t.ids(text))
+            yield from t.send()
+        yield from t.send(0)
+
+    kind = "label string, item string, n long"
+    counts = checkpointed(_added(fold(known, ["label", "text"], tally, kind)))
+    true = _true_labels(known, counts, sizes)
+    first = counts.where(F.col("label").isin(*true))
+    model = _ranked(first)
+
+    for _ in range(2):
+        sent = df.sparkSession.sparkContext.broadcast((model, frozenset(true)))
+
+        def anew(rows: Iterator[tuple]) -> Iterator[tuple]:
+            model, true = sent.value
+            t = Tally()
+            while some := list(islice(rows, TOGETHER)):
+                for (k, text), d in zip(some, model.distances_of([model.text_ids(text) for _, text in some])):
+                    said = "" if d is None else model.langs[int(d.argmin())]
+                    before = k if k in true else ""
+                    if said != before:
+                        ids = t.ids(text)
+                        t.add(before, ids, -1)
+                        t.add(said, ids)
+                yield from t.send()
+            yield from t.send(0)
+
+        model = _ranked(_added(first.unionAll(fold(known, ["label", "text"], anew, kind))))
+    return model
 
 
 def _prose(words: list[str], unit: str) -> bool:

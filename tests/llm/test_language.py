@@ -46,3 +46,28 @@ def test_frame(spark):
     assert got == [(902, "de"), (903, "en"), (903, "fr")]
     empty = df.limit(0)
     assert language.detect_languages(empty, language.fit(empty), keep=["lang"]).count() == 0
+
+
+def test_profiles_are_of_every_row(spark):
+    def same(data, kept):
+        df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(data)], "doc_id long, text string, lang string")
+        got, want = language.fit(df), language.Profiles.fit([(k, t) for k, t in data if k and t is not None])
+        assert got.langs == want.langs == kept and got.index == want.index and (got.rank == want.rank).all()
+
+    long = ("fr", FR[0] + " 12." * 2000 + " " + FR[2])  # more than the passage and the rows of a label that samples held
+    data = [(k, f"{t} Nr. {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(10) for k, t in rows()]
+    same([*data, long, ("zz", EN[0]), ("en", None), (None, DE[0]), ("de", ""), ("de", "12")], ["de", "en", "fr", "zh"])
+    alike = [("aa", EN[0]), ("bb", EN[0]), ("cc", EN[0])] * 6  # labels of one size
+    same(alike, language.Profiles.fit(alike).langs)
+    same([("en", EN[0])], ["en"])
+
+
+def test_tally():
+    t = language.Tally()
+    for text in (EN[0], ZH[0], "L'eau, l'eau."):
+        got = {list(t.index)[i] for i in t.ids(text)}
+        assert len(t.ids(text)) == len(got) and got == {"", *language.grams(text), *("\n" + w for w in language.text_words(text))}
+    t.add("x", t.ids("so so"))
+    t.add("x", t.ids("so we"), -1)
+    sent = list(t.send(0))
+    assert sum(n for _, item, n in sent if item == "\nso") == 0 and ("x", "\nwe", -1) in sent and not list(t.send(1))
